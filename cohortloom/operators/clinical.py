@@ -53,8 +53,9 @@ def cohort_size_gate(valid: DataFrame, min_n: int = MIN_PATIENTS) -> DataFrame:
 
 
 def restrict_samples(expression: DataFrame, valid: DataFrame) -> DataFrame:
-    """Expression of valid patients only."""
-    return attach(expression, valid.select("study", "sample_id"), ["study", "sample_id"], "left_semi")
+    """Expression of valid patients only. A patient has at most one row per gene,
+    so the key cannot be hot and a plain join is even."""
+    return expression.join(valid.select("study", "sample_id"), ["study", "sample_id"], "left_semi")
 
 
 def encode_response(response="response") -> Column:

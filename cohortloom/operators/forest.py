@@ -115,10 +115,8 @@ def sample_vectors(scores: DataFrame, tree_node: DataFrame) -> DataFrame:
     gathered = attach(scores, places, ["signature"]).groupBy("study", "sample_id").agg(
         F.map_from_entries(F.collect_list(F.struct("_at", "score"))).alias("_m")
     )
-    return gathered.select(
-        "study",
-        "sample_id",
-        F.transform(F.sequence(F.lit(0), size.scalar() - 1), lambda i: F.col("_m")[i]).alias("x"),
+    return gathered.withColumn("_n", size.scalar()).select(
+        "study", "sample_id", F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.col("_m")[i]).alias("x")
     )
 
 

@@ -26,6 +26,12 @@ def planned_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of all tables a plan reads."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+
+
 def salt_by_row(rows: DataFrame, on: Sequence[str], salts: int):
     """A salt that depends on the row's other columns only, so retries agree."""
     spread = [
@@ -47,17 +53,19 @@ def attach(
     """Join many rows to a lookup with few rows per key.
 
     A lookup whose planned size is small is broadcast: the estimate is made from
-    the sizes of the files it is read from. Otherwise it is written once and
-    counted; within ``max_rows`` it is broadcast and the rows stay where they
-    are. Beyond that the rows are salted by their own content and every lookup
-    row is repeated once per salt, so a key with a third of all rows is spread
-    over ``salts`` tasks. ``max_rows=0`` always salts.
+    the sizes of the files it is read from. Otherwise it is counted (written
+    first, unless it is cheap to compute again); within ``max_rows`` it is
+    broadcast and the rows stay where they are. Beyond that the rows are salted
+    by their own content and every lookup row is repeated once per salt, so a key
+    with a third of all rows is spread over ``salts`` tasks. ``max_rows=0``
+    always salts.
     """
     on = list(on)
     if max_rows and planned_bytes(lookup) <= SMALL_BYTES:
         return rows.join(F.broadcast(lookup), on, how)
-    lookup = keep(lookup, "lookup")
-    if lookup.count() <= max_rows:
+    if input_bytes(lookup) > SMALL_BYTES:
+        lookup = keep(lookup, "lookup")
+    if max_rows and lookup.limit(max_rows + 1).count() <= max_rows:
         return rows.join(F.broadcast(lookup), on, how)
     salted = rows.withColumn("_salt", salt_by_row(rows, on, salts))
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import literal_rows, round9
 from ..operators.scale import attach
@@ -16,8 +17,15 @@ from ..operators.scale import attach
 GENES = [f"Brand#{k}" for k in range(1, 26)]
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A warehouse table; its schema is read from the file footer once per session."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,41 +120,31 @@ def cohort_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def basket_tpm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """study, sample_id, gene_id, value: bought quantity, 0 where nothing was bought.
 
-    Quantities are summed per order and part before the joins; the 25 brands are
-    spread with an array, so the zero cells need no product of tables.
+    A customer's sums are gathered in one map (at most one entry per brand) and
+    read off along the brand list, so zero cells need no product of tables. The
+    part table is broadcast only if it is small; a hot order is split by AQE,
+    a hot customer shrinks in the partial sums.
     """
-    lines = (
-        table(spark, sf_dir, "lineitem")
-        .groupBy("l_orderkey", "l_partkey")
-        .agg(F.sum("l_quantity").alias("qty"))
-    )
-    per_order = (
-        lines.join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy("l_orderkey", "p_brand")
-        .agg(F.sum("qty").alias("qty"))
-    )
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey"), "l_quantity")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     bought = (
-        per_order.join(
-            table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"),
-            F.col("l_orderkey") == F.col("o_orderkey"),
-        )
+        attach(lines, table(spark, sf_dir, "part").select("p_partkey", "p_brand"), ["p_partkey"])
+        .join(orders, "l_orderkey")
+        .groupBy("o_custkey", "p_brand")
+        .agg(F.sum("l_quantity").alias("qty"))
         .groupBy("o_custkey")
-        .agg(*[F.sum(F.when(F.col("p_brand") == g, F.col("qty"))).alias(g) for g in GENES])
+        .agg(F.map_from_entries(F.collect_list(F.struct("p_brand", "qty"))).alias("qty"))
     )
     samples = _customers(spark, sf_dir).select("c_custkey", "r_name")
-    cells = F.array(
-        *[
-            F.struct(F.lit(g).alias("gene_id"), F.coalesce(F.col(f"`{g}`"), F.lit(0.0)).alias("value"))
-            for g in GENES
-        ]
-    )
     return (
         samples.join(bought, F.col("c_custkey") == F.col("o_custkey"), "left")
         .select(
             F.col("r_name").alias("study"),
             F.col("c_custkey").cast("string").alias("sample_id"),
-            F.inline(cells),
+            "qty",
+            F.explode(F.array(*[F.lit(g) for g in GENES])).alias("gene_id"),
         )
+        .select("study", "sample_id", "gene_id", F.coalesce(F.col("qty")[F.col("gene_id")], F.lit(0.0)).alias("value"))
     )
 
 
@@ -236,17 +234,23 @@ def vec_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def vec_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vec_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """study, sample_id, label, gene_id, value."""
     return vec_samples(spark, sf_dir).select(
-        "study", "sample_id", F.posexplode("values").alias("_pos", "value")
+        "study", "sample_id", "label", F.posexplode("values").alias("_pos", "value")
     ).select(
         "study",
         "sample_id",
+        "label",
         F.concat(F.lit("d"), F.lpad(F.col("_pos").cast("string"), 2, "0")).alias("gene_id"),
         "value",
     )
 
 
+def vec_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vec_cells(spark, sf_dir).drop("label")
+
+
 def vec_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vec_samples(spark, sf_dir).select("study", "sample_id", "label")
 
@@ -277,9 +281,9 @@ def stump_models(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     Tree t of a study splits on gene t at the study mean, its right child on the
     next gene. Returns ``(model, tree_node)``.
     """
-    expr = attach(vec_expression(spark, sf_dir), vec_labels(spark, sf_dir), ["study", "sample_id"])
     gene = (
-        expr.groupBy("study", "gene_id")
+        vec_cells(spark, sf_dir)
+        .groupBy("study", "gene_id")
         .agg(
             F.round(F.avg("value"), 6).alias("cut"),
             F.count(F.lit(1)).cast("double").alias("n"),
