@@ -335,24 +335,45 @@ def prepare_samples(expression: DataFrame, labels: DataFrame, bins: int = 10) ->
 
 
 def train_per_study(
-    samples: DataFrame, lists: DataFrame, grid: DataFrame, seeds: DataFrame, apply_gamma: bool = False
+    samples: DataFrame,
+    lists: DataFrame,
+    grid: DataFrame,
+    seeds: DataFrame,
+    apply_gamma: bool = False,
+    wave_size: int = 27,
 ) -> tuple[DataFrame, DataFrame]:
     """Trees and checkpoint margins of every distinct training of the grid.
 
     ``grid`` is :func:`param_grid` output or part of it; study and setting are
-    keys of one job. ``config_id`` of the result is the ``train_id``.
+    keys of one job. A study's trainings run in waves of ``wave_size``, which
+    bounds both the row copies and the split tables of a level. ``config_id`` of
+    the result is the ``train_id``.
     """
     runs = (
         distinct_trainings(grid, apply_gamma)
         .groupBy("study", F.col("train_id").alias("config_id"), "eta", "max_depth", "gamma", "colsample", "subsample")
         .agg(F.max("nrounds").alias("nrounds"), F.collect_set("nrounds").alias("_at"))
     )
-    runs = keep(runs)
-    # one row of whole numbers for the driver: how far to step
-    limits = runs.agg(
-        F.max("nrounds"), F.max("max_depth"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("_at"))))
-    ).first()
-    return grow_trees(samples, training_table(runs.drop("_at"), lists, seeds), limits[0], limits[1], limits[2])
+    place = F.row_number().over(Window.partitionBy("study").orderBy("config_id")) - 1
+    runs = keep(runs.withColumn("_wave", F.floor(place / wave_size).cast("int")))
+    # one row per wave for the driver: how far to step
+    limits = (
+        runs.groupBy("_wave")
+        .agg(
+            F.max("nrounds").alias("rounds"),
+            F.max("max_depth").alias("depth"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set("_at")))).alias("at"),
+        )
+        .orderBy("_wave")
+        .collect()
+    )
+    nodes, margins = None, None
+    for wave in limits:
+        table = training_table(runs.filter(F.col("_wave") == wave["_wave"]).drop("_at", "_wave"), lists, seeds)
+        more_nodes, more_margins = grow_trees(samples, table, wave["rounds"], wave["depth"], wave["at"])
+        nodes = more_nodes if nodes is None else nodes.unionByName(more_nodes)
+        margins = more_margins if margins is None else margins.unionByName(more_margins)
+    return nodes, margins
 
 
 def grid_auc(margins: DataFrame, grid: DataFrame, apply_gamma: bool = False) -> DataFrame:

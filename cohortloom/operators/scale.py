@@ -135,28 +135,21 @@ def exact_quantiles(
     """
     counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     ranked = cumulative(counts, keys, value, ["n"], buckets)
-    exact = [F.lit(float(s)) for s in shares]
-    hits = ranked.select(
-        *keys,
-        F.col(value).alias("_v"),
-        "before_n",
-        "n",
-        F.explode(
-            F.transform(
-                F.array(*exact),
-                lambda s: F.struct(s.alias("share"), (s * (F.col("total_n") - 1)).alias("at")),
-            )
-        ).alias("_q"),
+    first, end = F.col("before_n"), F.col("before_n") + F.col("n")
+    inside = lambda p: (p >= first) & (p < end)
+    places = F.transform(
+        F.array(*[F.lit(float(s)) for s in shares]),
+        lambda s: F.struct(s.alias("share"), (s * (F.col("total_n") - 1)).alias("at")),
     )
+    held = F.filter(places, lambda q: inside(F.floor(q["at"])) | inside(F.ceil(q["at"])))
+    hits = ranked.select(*keys, F.col(value).alias("_v"), "before_n", "n", F.explode(held).alias("_q"))
     low, high = F.floor("_q.at"), F.ceil("_q.at")
-    part = F.col("_q.at") - low
-    inside = lambda p: ((p >= F.col("before_n")) & (p < F.col("before_n") + F.col("n")))
     return (
-        hits.filter(inside(low) | inside(high))
-        .withColumn("_low", F.when(inside(low), F.col("_v")))
-        .withColumn("_high", F.when(inside(high), F.col("_v")))
-        .withColumn("_part", part)
-        .groupBy(*keys, F.col("_q.share").alias("share"))
-        .agg(F.max("_low").alias("_low"), F.max("_high").alias("_high"), F.max("_part").alias("_part"))
+        hits.groupBy(*keys, F.col("_q.share").alias("share"))
+        .agg(
+            F.max(F.when(inside(low), F.col("_v"))).alias("_low"),
+            F.max(F.when(inside(high), F.col("_v"))).alias("_high"),
+            F.max(F.col("_q.at") - low).alias("_part"),
+        )
         .select(*keys, "share", (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")).alias("cut"))
     )
