@@ -94,7 +94,7 @@ def _strip(spark, sf):
 
 def light_scores(spark, sf):
     """Scores of the value-based signatures of the gated studies."""
-    expr = sc.keep(logged(spark, sf))
+    expr = sc.gene_missing_filter(sc.keep(logged(spark, sf)))
     sets = sc.eligible_sets(expr, sc.score_dispatch(d.basket_signatures(spark, sf), d.basket_signature_info(spark)))
     of = lambda b: sets.filter(F.col("branch") == b)
     out = ["study", "sample_id", "signature", "score"]

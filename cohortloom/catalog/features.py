@@ -76,10 +76,8 @@ def _align(spark, sf):
 
 q.cte(
     "gene_score",
-    "expr",
-    """SELECT study, sample_id, gene_id AS signature, value AS score FROM expr WHERE (study, gene_id) IN (
-    SELECT (study, gene_id) FROM expr GROUP BY study, gene_id
-    HAVING avg(CASE WHEN round(value, 6) = round(log2(0.001::DOUBLE), 6) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) <= 0.22::DOUBLE)""",
+    "logx",
+    f"SELECT study, sample_id, gene_id AS signature, value AS score FROM ({q.present_text('logx', 0.22)})",
 )
 q.cte(
     "common",

@@ -19,7 +19,7 @@ def _routed(spark, sf):
 
 
 def _inputs(spark, sf, branch):
-    expr = sc.keep(logged(spark, sf))
+    expr = sc.gene_missing_filter(sc.keep(logged(spark, sf)))
     return expr, sc.eligible_sets(expr, _routed(spark, sf).filter(F.col("branch") == branch))
 
 
@@ -134,18 +134,16 @@ QUERIES = {
     "gene_missing_filter": (
         _missing,
         q.query(
-            "expr",
-            """SELECT study, sample_id, gene_id, round(value, 6) AS value FROM expr WHERE (study, gene_id) IN (
-            SELECT (study, gene_id) FROM expr GROUP BY study, gene_id
-            HAVING avg(CASE WHEN round(value, 6) = round(log2(0.001::DOUBLE), 6) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) <= 0.22::DOUBLE)""",
+            "logx",
+            f"SELECT study, sample_id, gene_id, round(value, 6) AS value FROM ({q.present_text('logx', 0.22)})",
         ),
     ),
     "signature_coverage_gate": (
         _coverage,
         q.query(
-            "signature expr",
+            "signature logx",
             """SELECT g.study, s.signature FROM (SELECT DISTINCT signature, gene_id FROM signature) s
-            JOIN (SELECT DISTINCT study, gene_id FROM expr) g USING (gene_id)
+            JOIN (SELECT DISTINCT study, gene_id FROM logx) g USING (gene_id)
             JOIN (SELECT signature, count(DISTINCT gene_id) AS n FROM signature GROUP BY 1) z USING (signature)
             GROUP BY g.study, s.signature, z.n HAVING count(*) / CAST(z.n AS DOUBLE) > 0.8""",
         ),
@@ -153,9 +151,9 @@ QUERIES = {
     "signature_sample_gate": (
         _sample_gate,
         q.query(
-            "expr",
-            """SELECT study, sample_id, gene_id, round(value, 6) AS value FROM expr WHERE study IN (
-            SELECT study FROM expr GROUP BY study HAVING count(DISTINCT sample_id) >= 270)""",
+            "logx",
+            """SELECT study, sample_id, gene_id, round(value, 6) AS value FROM logx WHERE study IN (
+            SELECT study FROM logx GROUP BY study HAVING count(DISTINCT sample_id) >= 270)""",
         ),
     ),
     "score_dispatch": (_dispatch, q.query("routed", "SELECT * FROM routed")),
@@ -165,7 +163,7 @@ QUERIES = {
         q.query(
             "vexpr",
             "SELECT study, sample_id, signature, round(score, 6) AS score FROM k_score",
-            [("vsets", _VSETS), *q.gsva_ctes("vexpr", "vsets", _KERNEL, "k")],
+            [("vsets", _VSETS), *q.gsva_ctes("vsets", _KERNEL, "k")],
         ),
     ),
     "score_ssgsea": (_ssgsea, _branch_sql("ss_score", "ssgsea")),

@@ -94,10 +94,19 @@ cte(
     FROM clinical c CROSS JOIN genes g LEFT JOIN bought b ON b.sample_id = c.sample_id AND b.gene_id = g.gene_id""",
 )
 cte(
-    "expr",
+    "logx",
     "tpm gated",
     """SELECT study, sample_id, gene_id, log2(value + 0.001::DOUBLE) AS value FROM tpm SEMI JOIN gated USING (study, sample_id)""",
 )
+
+
+def present_text(source: str, share: float) -> str:
+    """Cells of genes that are zero in at most ``share`` of the study's samples."""
+    return f"""SELECT * FROM {source} WHERE (study, gene_id) IN (SELECT (study, gene_id) FROM {source} GROUP BY study, gene_id
+    HAVING avg(CASE WHEN round(value, 6) = round(log2(0.001::DOUBLE), 6) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) <= {share}::DOUBLE)"""
+
+
+cte("expr", "logx", present_text("logx", 0.5))
 _MEMBERS = [
     ("S0", "''", "1.0", "''", "k % 5 = 0"),
     ("S1", "''", "1.0", "''", "k % 5 = 1"),
@@ -162,7 +171,7 @@ cte(
 )
 
 
-def gsva_ctes(expr: str, sets: str, f_sql: str, prefix: str = "gs") -> list[tuple[str, str]]:
+def gsva_ctes(sets: str, f_sql: str, prefix: str = "gs") -> list[tuple[str, str]]:
     """The walk over all genes, as published. ``f_sql`` yields ``f`` per cell."""
     return [
         (f"{prefix}_f", f_sql),
@@ -238,7 +247,7 @@ cte(
 )
 cte("gs_sets", "sets", "SELECT * FROM sets WHERE branch IN ('gsva', 'pio', 'ipres')")
 cte("ss_sets", "sets", "SELECT * FROM sets WHERE branch IN ('ssgsea', 'passon', 'ipsov')")
-_gs = gsva_ctes("expr", "gs_sets", "SELECT * FROM cume")
+_gs = gsva_ctes("gs_sets", "SELECT * FROM cume")
 _ss = ssgsea_ctes("expr", "ss_sets")
 for _i, (_name, _text) in enumerate(_gs):
     cte(_name, "cume gs_sets" if _i == 0 else _gs[_i - 1][0], _text)

@@ -68,7 +68,7 @@ def attach(
     if max_rows and lookup.limit(max_rows + 1).count() <= max_rows:
         return rows.join(F.broadcast(lookup), on, how)
     salted = rows.withColumn("_salt", salt_by_row(rows, on, salts))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
+    copies = lookup.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 

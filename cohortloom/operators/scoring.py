@@ -83,12 +83,21 @@ def score_dispatch(signature: DataFrame, info: DataFrame) -> DataFrame:
 def eligible_sets(expression: DataFrame, routed: DataFrame, share: float = MIN_COVERAGE) -> DataFrame:
     """Gene sets per study after the coverage gate (not applied to ungated branches)."""
     genes = keep(expression.select("study", "gene_id").distinct())
-    passed = signature_coverage_gate(routed, genes, share).unionByName(
-        attach(genes, routed.filter(F.col("branch").isin(*UNGATED)), ["gene_id"]).select("study", "signature").distinct()
-    ).distinct()
-    return attach(routed.filter(F.col("branch").isNotNull()), passed, ["signature"]).select(
-        "study", *SET, "gene_id", "weight", "grp", "branch"
+    members = routed.filter(F.col("branch").isNotNull()).select("signature", "branch", "gene_id").distinct()
+    sizes = members.groupBy("signature").agg(F.count(F.lit(1)).alias("n_genes"))
+    found = (
+        attach(genes, members, ["gene_id"])
+        .groupBy("study", "signature", "branch")
+        .agg(F.count(F.lit(1)).alias("n_found"))
+    )
+    covered = F.col("n_found") / F.col("n_genes") > F.lit(share)
+    passed = (
+        attach(found, sizes, ["signature"])
+        .filter(covered | F.col("branch").isin(*UNGATED))
+        .select("study", "signature", "branch")
     )
+    rows = routed.join(passed, ["signature", "branch"])  # one row per study, set and gene
+    return keep(rows.select("study", *SET, "gene_id", "weight", "grp", "branch"))
 
 
 def members_of(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -358,7 +367,7 @@ def score_all(
     signature, score).
     """
     expression = keep(signature_sample_gate(expression, min_samples))
-    sets = keep(eligible_sets(expression, score_dispatch(signature, info)))
+    sets = eligible_sets(expression, score_dispatch(signature, info))
     of = lambda *names: sets.filter(F.col("branch").isin(*names))
     out = ["study", "sample_id", "signature", "score"]
     by_gsva = keep(gsva(expression, of("gsva", "pio", "ipres").drop("branch"), kcdf))
