@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import literal_rows
+from ..functions import literal_rows, sigmoid
 from ..operators import bootstrap as bs
 from ..operators import clinical as cl
 from ..operators import forest as fo
@@ -83,7 +83,18 @@ def _local_models(spark, sf):
     vectors = fo.sample_vectors(vec_scores(spark, sf), tree_node).withColumn(
         "x", F.transform("x", lambda v: F.coalesce(v, F.lit(0.0)))
     )
-    return r6(fo.predict_trees(vectors, tree_node, model), "margin", "score")
+    return margins_and_scores(fo.predict_trees(vectors, tree_node, model))
+
+
+def margins_and_scores(predicted):
+    """Both to 6 digits from the unrounded margin."""
+    return predicted.select(
+        "study",
+        "sample_id",
+        "model_id",
+        F.round("margin", 6).alias("margin"),
+        F.round(sigmoid(F.col("margin")), 6).alias("score"),
+    )
 
 
 def _grid(spark, sf):
@@ -324,7 +335,7 @@ QUERIES = {
         _local_models,
         q.query(
             "stump vexpr vscore",
-            f"""SELECT study, sample_id, model_id, round(margin, 6) AS margin, round(round({q.sigmoid('margin')}, 9), 6) AS score FROM (
+            f"""SELECT study, sample_id, model_id, round(margin, 6) AS margin, round({q.sigmoid('margin')}, 6) AS score FROM (
             SELECT a.study, a.sample_id, r.model_id, sum(CASE WHEN a.value < r.threshold THEN l1.leaf_value
              WHEN b.value < s.threshold THEN l5.leaf_value ELSE l6.leaf_value END) AS margin
             FROM stump r JOIN stump s ON s.model_id = r.model_id AND s.tree_id = r.tree_id AND s.node_id = 2

@@ -14,7 +14,7 @@ from ..sources import models as mo
 from ..sources import training as tr
 from . import sql as q
 from .clinical import gated
-from .evaluation import YOUDEN_TEXT, stump_predictions
+from .evaluation import YOUDEN_TEXT, margins_and_scores, stump_predictions
 from .scoring import r6
 
 SMALL_GRID = {
@@ -203,7 +203,7 @@ def _header(spark, sf):
 
 
 def _predict(spark, sf):
-    return r6(stump_predictions(spark, sf).select("study", "sample_id", "model_id", "margin", "score"), "margin", "score")
+    return margins_and_scores(stump_predictions(spark, sf))
 
 
 def _predict_global(spark, sf):
@@ -212,7 +212,7 @@ def _predict_global(spark, sf):
     scores = d.vec_expression(spark, sf).select(
         "study", "sample_id", F.col("gene_id").alias("signature"), F.col("value").alias("score")
     )
-    return r6(fo.predict_trees(fo.sample_vectors(scores, merged), merged, head), "margin", "score")
+    return margins_and_scores(fo.predict_trees(fo.sample_vectors(scores, merged), merged, head))
 
 
 def _model_summary(spark, sf):
@@ -515,13 +515,16 @@ QUERIES = {
     ),
     "predict_trees": (
         _predict,
-        q.query("vpred", "SELECT study, sample_id, model_id, round(margin, 6) AS margin, round(score, 6) AS score FROM vpred"),
+        q.query(
+            "vpred",
+            f"SELECT study, sample_id, model_id, round(margin, 6) AS margin, round({q.sigmoid('margin')}, 6) AS score FROM vpred",
+        ),
     ),
     "predict_global": (
         _predict_global,
         q.query(
             "stump_margin",
-            f"""SELECT study, sample_id, 'global' AS model_id, round(sum(margin), 6) AS margin, round(round({q.sigmoid('sum(margin)')}, 9), 6) AS score
+            f"""SELECT study, sample_id, 'global' AS model_id, round(sum(margin), 6) AS margin, round({q.sigmoid('sum(margin)')}, 6) AS score
             FROM stump_margin GROUP BY study, sample_id""",
         ),
     ),

@@ -85,13 +85,19 @@ def study_seeds(studies: DataFrame, base: int = BASE_SEED) -> DataFrame:
 # ---- binning ---------------------------------------------------------------
 
 
-def bin_cuts(expression: DataFrame, bins: int = 10) -> DataFrame:
-    """Inner quantile cut points per study and feature, rounded to 6 digits."""
+def bin_cuts(expression: DataFrame, bins: int = 10, exact: bool = True) -> DataFrame:
+    """Inner quantile cut points per study and feature, rounded to 6 digits.
+
+    ``exact=False`` reads them off a mergeable sketch in one pass over the rows.
+    """
     shares = [i / bins for i in range(1, bins)]
-    cuts = exact_quantiles(expression, ["study", "feature"], "value", shares, buckets=32)
-    return cuts.groupBy("study", "feature").agg(
-        F.sort_array(F.collect_list(F.round("cut", 6))).alias("cuts")
-    )
+    keys = ["study", "feature"]
+    if not exact:
+        sketch = F.percentile_approx("value", F.array(*[F.lit(s) for s in shares]), F.lit(10_000))
+        rounded = expression.groupBy(*keys).agg(sketch.alias("cuts"))
+        return rounded.withColumn("cuts", F.transform("cuts", lambda c: F.round(c, 6)))
+    cuts = exact_quantiles(expression, keys, "value", shares, buckets=32)
+    return cuts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.round("cut", 6))).alias("cuts"))
 
 
 def bin_features(expression: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -325,12 +331,14 @@ def name_nodes(grown: list[DataFrame], lists: DataFrame) -> DataFrame:
 # ---- search and report -------------------------------------------------------------
 
 
-def prepare_samples(expression: DataFrame, labels: DataFrame, bins: int = 10) -> tuple[DataFrame, DataFrame]:
+def prepare_samples(
+    expression: DataFrame, labels: DataFrame, bins: int = 10, exact: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """(samples, lists): binned rows and per-study feature lists.
 
     ``expression`` is (study, sample_id, feature, value).
     """
-    cuts = keep(bin_cuts(expression, bins))
+    cuts = keep(bin_cuts(expression, bins, exact))
     return keep(binned_samples(bin_features(expression, cuts), labels)), feature_lists(cuts)
 
 

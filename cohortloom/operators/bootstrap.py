@@ -55,6 +55,7 @@ def bootstrap_auc(
     draws = (
         items.select(*keys, "label", "size", "at", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
         .withColumn("at", draw_index(F.col("size"), *keys, "label", "replicate", "at"))
+        .repartition(*keys, "label", "at")  # serves the count and the join below
         .groupBy(*keys, "label", "replicate", "at")
         .agg(F.count(F.lit(1)).alias("times"))
     )

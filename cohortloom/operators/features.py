@@ -83,18 +83,16 @@ def align_features(scores: DataFrame, model_feature: DataFrame) -> DataFrame:
     A sample's scores are gathered in one map (bounded by the feature list) and
     read off along the model's list.
     """
-    lists = (
-        model_feature.groupBy("model_id")
-        .agg(F.sort_array(F.collect_set("feature")).alias("list"))
-        .agg(F.collect_list(F.struct("model_id", "list")).alias("models"))
-    )
+    lists = model_feature.groupBy("model_id").agg(F.sort_array(F.collect_set("feature")).alias("list"))
+    models = lists.agg(F.sort_array(F.collect_set("model_id")).alias("ids"))
     gathered = scores.groupBy(*SAMPLE).agg(
         F.map_from_entries(F.collect_list(F.struct("signature", "score"))).alias("_scores")
     )
-    per_model = gathered.withColumn("_all", F.lit(1))
-    rows = attach(per_model, lists.withColumn("_all", F.lit(1)), ["_all"], max_rows=1).drop("_all")
+    rows = gathered.withColumn("_ids", models.scalar()).select(
+        *SAMPLE, "_scores", F.explode("_ids").alias("model_id")
+    )
     return (
-        rows.select(*SAMPLE, "_scores", F.inline("models"))
+        attach(rows, lists, ["model_id"], max_rows=20_000)
         .select(*SAMPLE, "_scores", "model_id", F.explode("list").alias("feature"))
         .select(*SAMPLE, "model_id", "feature", F.coalesce(F.col("_scores")[F.col("feature")], F.lit(0.0)).alias("value"))
     )

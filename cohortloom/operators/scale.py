@@ -35,9 +35,9 @@ def input_bytes(df: DataFrame) -> int:
 def salt_by_row(rows: DataFrame, on: Sequence[str], salts: int):
     """A salt that depends on the row's other columns only, so retries agree."""
     spread = [
-        f.name
+        F.map_entries(f.name) if isinstance(f.dataType, T.MapType) else F.col(f.name)
         for f in rows.schema.fields
-        if f.name not in on and not isinstance(f.dataType, (T.MapType, T.VariantType))
+        if f.name not in on
     ]
     return F.pmod(F.xxhash64(*spread), F.lit(salts)) if spread else F.lit(0).cast("bigint")
 

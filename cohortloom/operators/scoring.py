@@ -396,19 +396,18 @@ def score_assemble(samples: DataFrame, signature: DataFrame, scores: DataFrame)
     """A row per sample and signature; a signature without scores is NULL.
 
     Scores are gathered per sample (at most one per signature) and laid out along
-    the study's signature list, so no product of tables is formed.
+    the list of signature names, so no product of tables is formed.
     """
-    names = signature.select("signature").distinct()
-    listed = samples.select("study").distinct().withColumn("_all", F.lit(1))
-    catalog = names.agg(F.sort_array(F.collect_list("signature")).alias("_names")).withColumn("_all", F.lit(1))
-    per_study = attach(listed, catalog, ["_all"]).drop("_all")
+    names = signature.agg(F.sort_array(F.collect_set("signature")).alias("_names"))
     gathered = scores.filter(F.col("score").isNotNull()).groupBy("study", "sample_id").agg(
         F.map_from_entries(F.collect_list(F.struct("signature", "score"))).alias("_scores")
     )
-    rows = attach(samples.select("study", "sample_id"), per_study, ["study"], max_rows=20_000)
-    return rows.join(gathered, ["study", "sample_id"], "left").select(
-        "study", "sample_id", F.explode("_names").alias("signature"), "_scores"
-    ).select("study", "sample_id", "signature", F.col("_scores")[F.col("signature")].alias("score"))
+    rows = samples.select("study", "sample_id").join(gathered, ["study", "sample_id"], "left")
+    return (
+        rows.withColumn("_names", names.scalar())
+        .select("study", "sample_id", F.explode("_names").alias("signature"), "_scores")
+        .select("study", "sample_id", "signature", F.col("_scores")[F.col("signature")].alias("score"))
+    )
 
 
 def drop_incomplete_signatures(scores: DataFrame) -> DataFrame:

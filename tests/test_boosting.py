@@ -83,3 +83,11 @@ def test_select_best_takes_first_of_ties(spark):
     aucs = spark.createDataFrame([("s", 3, 0.9), ("s", 2, 0.9), ("s", 1, 0.8)], "study string, config_id int, auc double")
     grid = spark.createDataFrame([("s", i) for i in (1, 2, 3)], "study string, config_id int")
     assert bo.select_best(aucs, grid).first().config_id == 2
+
+
+def test_sketched_cuts_are_close_to_exact_ones(spark, sf):
+    rows = keep(m.vec_features(spark, sf))
+    exact, near = bo.bin_cuts(rows), bo.bin_cuts(rows, exact=False).withColumnRenamed("cuts", "near")
+    gap = F.array_max(F.zip_with("cuts", "near", lambda a, b: F.abs(a - b)))
+    worst = exact.join(near, ["study", "feature"]).agg(F.max(gap), F.count("*")).first()
+    assert worst[0] < 0.05 and worst[1] == 5 * 64
