@@ -134,7 +134,8 @@ def _scan_train(spark, sf):
 
 
 _WIDE = """SELECT study, sample_id, max(score) FILTER (signature = 'COX') AS cox, max(score) FILTER (signature = 'IPS') AS ips,
- max(score) FILTER (signature = 'S3') AS s3 FROM light GROUP BY ALL"""
+ max(score) FILTER (signature = 'S3') AS s3 FROM light WHERE signature IN (SELECT signature FROM light GROUP BY 1
+ HAVING count(DISTINCT study) = (SELECT count(DISTINCT study) FROM light)) GROUP BY ALL"""
 
 _TERM_SQL = """SELECT r_name AS study, CAST(c_custkey AS VARCHAR) AS sample_id,
  CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'SKCM' WHEN 'BUILDING' THEN ' melanoma ' WHEN 'FURNITURE' THEN 'Lung' WHEN 'MACHINERY' THEN 'Rare tumour' END AS cancer,
