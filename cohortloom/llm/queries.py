@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, token_counts
+from . import mixing, packing, quality, sharding, simhash, token_counts
 from .common import table
 
 
@@ -23,6 +23,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
@@ -31,6 +39,8 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op3_mixing": op3_mixing,
     "op6_token_counts": op6_token_counts,
+    "op7_simhash": op7_simhash,
+    "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
 }
 ORACLE_SQL = {"op3_mixing": mixing.SHARES_SQL, "op9_sharding": sharding.SHARDS_SQL}
