@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, sharding, simhash, token_counts
+from . import mixing, packing, pii, quality, sharding, simhash, token_counts
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixing.shares(table(spark, sf_dir, "documents"))
     return drawn.select("doc_id", "size", "source_size", "target", "taken")
@@ -37,6 +41,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_pii": op2_pii,
     "op3_mixing": op3_mixing,
     "op6_token_counts": op6_token_counts,
     "op7_simhash": op7_simhash,
