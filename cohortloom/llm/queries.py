@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, quality, sharding, simhash, token_counts
+from . import html_extract, mixing, packing, pii, quality, sharding, simhash, token_counts, winnowing
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compared(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -39,13 +43,19 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_pii": op2_pii,
     "op3_mixing": op3_mixing,
+    "op5_winnowing": op5_winnowing,
     "op6_token_counts": op6_token_counts,
     "op7_simhash": op7_simhash,
     "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
+    "op10_html_extract": op10_html_extract,
 }
 ORACLE_SQL = {"op3_mixing": mixing.SHARES_SQL, "op9_sharding": sharding.SHARDS_SQL}
