@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 from collections.abc import Callable, Sequence
 
@@ -36,7 +37,7 @@ class Memo:
     Beyond ``limit`` units the memo starts anew; results do not depend on it.
     """
 
-    def __init__(self, encode: Callable[[Sequence[str]], Sequence[Sequence[int]]], limit: int = 400_000):
+    def __init__(self, encode: Callable[[Sequence[str]], Sequence[Sequence[int]]], limit: int = 1_000_000):
         self.encode, self.limit = encode, limit
         self.clear()
 
@@ -50,18 +51,20 @@ class Memo:
         """The place of every unit in ``starts`` and ``lengths``."""
         if len(self.index) > self.limit:
             self.clear()
-        found = list(map(self.index.get, units))
-        new = list(dict.fromkeys(u for u, at in zip(units, found) if at is None)) if None in found else []
-        if new:
+        found = np.fromiter(map(self.index.get, units, itertools.repeat(-1)), np.int64, len(units))
+        missing = np.flatnonzero(found < 0).tolist()
+        if missing:
+            new = list(dict.fromkeys(units[i] for i in missing))
             ids = self.encode(new)
             lengths = np.fromiter(map(len, ids), np.int64, len(new))
             first = len(self.flat)
-            self.flat = np.concatenate([self.flat, np.fromiter((x for i in ids for x in i), np.uint32, int(lengths.sum()))])
+            flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+            self.flat = np.concatenate([self.flat, flat])
             self.starts = np.concatenate([self.starts, first + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-            found = list(map(self.index.__getitem__, units))
-        return np.array(found, np.int64)
+            found[missing] = [self.index[units[i]] for i in missing]
+        return found
 
     def ids(self, places: np.ndarray) -> np.ndarray:
         """The ids of the units one after the other."""
