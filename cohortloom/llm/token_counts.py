@@ -90,16 +90,20 @@ def spliced(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) ->
 
 def counts_of(tokenizer: str, texts: list[str], chunk: int, overlap: int) -> np.ndarray:
     """Token counts: documents within one chunk by their words, each distinct word encoded once while it is held."""
-    memo, out = _memo(tokenizer), []
-    for text in texts:
+    memo, out, cut, per = _memo(tokenizer), np.zeros(len(texts), np.int64), [], []
+    for i, text in enumerate(texts):
+        own = []
         if len(text) > chunk:
-            out.append(spliced(load(tokenizer), text, chunk, overlap))
+            out[i] = spliced(load(tokenizer), text, chunk, overlap)
         elif CONTROLS.search(text):
-            out.append(len(load(tokenizer).encode(text, add_special_tokens=False).ids))
+            out[i] = len(load(tokenizer).encode(text, add_special_tokens=False).ids)
         else:
-            places = memo.places(text.split())
-            out.append(int(memo.lengths[places].sum()))
-    return np.array(out, np.int64)
+            own = text.split()
+        cut += own
+        per.append(len(own))
+    places = memo.places(cut)
+    sums = np.concatenate([[0], np.cumsum(memo.lengths[places])])
+    return out + np.diff(sums[np.cumsum(per)], prepend=0) if texts else out
 
 
 def token_counts(
