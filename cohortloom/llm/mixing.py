@@ -54,7 +54,7 @@ def water_level(sources: DataFrame, max_rate: float) -> float:
 
 def rates(sized: DataFrame, weights: Sequence[float] = WEIGHTS, max_rate: float = MAX_RATE) -> DataFrame:
     """Per source its words, target and repetition rate, from rows with ``source`` and ``size``."""
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    totals = written(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-totals")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
     placed = written(numbered(totals).withColumn("weight", weight), "mix-weights")
     level = water_level(placed, max_rate)
