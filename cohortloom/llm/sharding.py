@@ -22,6 +22,11 @@ def bit_string(key: Column) -> Column:
     return F.lpad(F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 2), HASH_BITS, "0")
 
 
+def bit_string_of(doc_id: str, text: str) -> Column:
+    """The hash bits of a document's doc_id and text."""
+    return bit_string(F.concat_ws("|", F.col(doc_id).cast("string"), F.md5(text_of(text).cast("binary"))))
+
+
 def first_bits(bits: Column, depth: Column | int) -> Column:
     return F.substring(bits, F.lit(1), depth if isinstance(depth, Column) else F.lit(depth))
 
@@ -54,7 +59,7 @@ def shards(docs: DataFrame, limit: int = LIMIT_BYTES, step: int = STEP) -> DataF
     own. Other columns are not read; an empty table gives an empty result.
     """
     text = text_of()
-    own = bit_string(F.concat_ws("|", F.col("doc_id").cast("string"), F.md5(text.cast("binary"))))
+    own = bit_string_of("doc_id", "text")
     row = bit_string(F.monotonically_increasing_id().cast("string"))
     active = written(
         docs.select(
