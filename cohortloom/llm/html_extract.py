@@ -165,19 +165,24 @@ def between(weights: list[int], threshold: int, window: int = WINDOW) -> list[tu
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     """The text of a page: blocks in page order, white space collapsed, joined by one space.
 
-    With a main or article element lines outside it weigh nothing and any text inside surges; without one the
-    threshold decides. A page whose lines never reach it has a short text or none: all its weighted lines count.
+    With a main or article element only its lines count, and links in it weigh like other text, so any text in it
+    surges. Without one the threshold decides, and lines of links at the edges of a run go; a page whose lines never
+    reach the threshold has a short text or none, and any weighted line surges.
     """
     found = lines(page)
     if any(line.main for line in found):
-        found = [line for line in found if line.main]
-        return " ".join(line.text for line in found) if not any(line.weight for line in found) else _kept(found, window, 1)
-    return _kept(found, window, surge) or _kept(found, window, 1)
-
-
-def _kept(found: list[Line], window: int, threshold: int) -> str:
-    runs = between([line.weight for line in found], threshold, window)
-    return " ".join(line.text for a, b in runs for line in found[a:b])
+        return kept([line.text for line in found if line.main], [len(line.text) for line in found if line.main], window, 1)
+    texts, weights = [line.text for line in found], [line.weight for line in found]
+    return kept(texts, weights, window, surge) or kept(texts, weights, window, 1)
+
+
+def kept(texts: list[str], weights: list[int], window: int, threshold: int) -> str:
+    """The text between surges and dives, without weightless lines at either end of a run."""
+    out = []
+    for a, b in between(weights, threshold, window):
+        held = [i for i in range(a, b) if weights[i]]
+        out += texts[held[0] : held[-1] + 1]
+    return " ".join(out)
 
 
 def extracted(pages: DataFrame, window: int = WINDOW, surge: int = SURGE) -> DataFrame:

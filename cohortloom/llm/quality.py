@@ -18,7 +18,7 @@ WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
 #: Groups with fewer documents take the limits of their language, or of all documents.
-MIN_GROUP = 200
+MIN_GROUP = 50
 #: A limit lies so many quartile distances outside the quartiles.
 REACH = 3
 #: Per metric: the least upper limit, and the least quartile distance as a share of the median. Symbols and
@@ -118,10 +118,10 @@ def measures(texts: pa.Array) -> pa.Array:
 
 
 def metric(name: str, m: str = "m") -> Column:
-    """A metric of a document that has words, as a whole number."""
+    """A metric of a document as a whole number; null without words."""
     of = {"symbols": (1000, "n_symbols", "n_words"), "dup_lines": (1000, "n_dup_lines", "n_words"), "word_length": (100, "word_chars", "n_words")}
     scale, part, whole = of[name]
-    return F.expr(f"{scale}L * {m}.{part} div {m}.{whole}")
+    return F.expr(f"{scale}L * {m}.{part} div nullif({m}.{whole}, 0L)")
 
 
 def base_failed(m: str = "m") -> Column:
