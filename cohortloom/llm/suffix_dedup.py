@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -280,6 +281,23 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def compressed(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``text`` as zstd frames, for the two joins that move it."""
+
+    def work(batches):
+        tool = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            frames = pa.array([tool.compress(t) for t in _bytes(batch.column("text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), frames], names=["doc_id", "tie", "text"])
+
+    return rows.mapInArrow(work, "doc_id bigint, tie bigint, text binary")
+
+
+def _plain(column: pa.Array) -> list[bytes]:
+    tool = zstandard.ZstdDecompressor()
+    return [tool.decompress(t) for t in column.to_pylist()]
+
+
 def shared_anchors(rows: DataFrame, length: int, per_anchor: int) -> DataFrame:
     """Anchors that occur twice or more: ``h``, their number ``n`` and over how many tasks they are dealt, ``tasks``."""
 
@@ -310,7 +328,7 @@ def removed_spans(rows: DataFrame, length: int, per_task: int, per_anchor: int)
 
     def cut(batches):
         for batch in batches:
-            texts = _bytes(batch.column("text"))
+            texts = _plain(batch.column("text"))
             lists = batch.column("anchors")
             edges = lists.offsets.to_numpy()
             known, parts = (lists.values.field(i).to_numpy() for i in (0, 1))
@@ -343,7 +361,7 @@ def removed_spans(rows: DataFrame, length: int, per_task: int, per_anchor: int)
                 )
 
     schema = "target bigint, hot boolean, doc_id bigint, tie bigint, start bigint, segment binary"
-    segments = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "tie", "text", "anchors").mapInArrow(cut, schema)
+    segments = compressed(rows).join(wanted, F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "tie", "text", "anchors").mapInArrow(cut, schema)
     sorted_ = segments.repartition(tasks, "target").mapInArrow(lambda batches: sorted_task(batches, length), SPAN)
     if (found[1] or 0) <= 1:
         return sorted_.select("doc_id", "tie", "start", "end")
@@ -374,7 +392,7 @@ def deduplicated(
 
     def assemble(batches):
         for batch in batches:
-            texts, ties = _bytes(batch.column("text")), batch.column("tie").to_numpy()
+            texts, ties = _plain(batch.column("text")), batch.column("tie").to_numpy()
             lists = batch.column("found")
             edges, valid = lists.offsets.to_numpy(), np.array(lists.is_valid())
             tie, start, end = (lists.values.field(i).to_numpy() for i in range(3))
@@ -399,7 +417,7 @@ def deduplicated(
                 names=["doc_id", "n_bytes", "spans", "kept"],
             )
 
-    joined = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "tie", "text", "found")
+    joined = compressed(rows).join(per_doc, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "tie", "text", "found")
     return joined.mapInArrow(
         assemble, "doc_id bigint, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary"
     )
