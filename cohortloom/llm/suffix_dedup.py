@@ -27,8 +27,8 @@ SEED = 20
 #: Passages that one task sorts on average, and the most of one anchor that it gets at once.
 PER_TASK = 10_000
 PER_ANCHOR = 20_000
-#: Bytes of text hashed at once; longer texts are taken in overlapping blocks.
-BLOCK = 2_000_000
+#: Bytes of text hashed at once, so that the arrays stay in cache; longer texts are taken in overlapping blocks.
+BLOCK = 250_000
 PLACE = np.uint64(127)
 
 
@@ -62,12 +62,13 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def anchors(parts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
+def anchors(parts: list[bytes], length: int = LENGTH, seek: bool = True) -> tuple[np.ndarray, ...]:
     """Runs of strings with one anchor: the part, the first string's start in it, the number of strings, the anchor's
     hash, and whether it may occur twice within one of the strings.
 
     The lowest bits of a hash make room for the place of the anchor; equal strings may so take different anchors of
-    equal hash, which is all that counts. Where the places count downwards another anchor wins if there are several.
+    equal hash, which is all that counts. Where the places count downwards another anchor wins if there are several;
+    this is looked into only if ``seek`` says so.
     """
     data = np.frombuffer(b"".join(parts), np.uint8)
     sizes = np.array([len(p) for p in parts], np.int64)
@@ -77,7 +78,7 @@ def anchors(parts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
     h = rolling(data, ANCHOR) & ~PLACE
     place = np.arange(len(h), dtype=np.uint64) & PLACE
     low = least(h | place, length - ANCHOR + 1)
-    several = (low ^ least(h | (PLACE - place), length - ANCHOR + 1)) != PLACE
+    several = (low ^ least(h | (PLACE - place), length - ANCHOR + 1)) != PLACE if seek else np.zeros(len(low), bool)
     offsets = np.cumsum(sizes) - sizes
     part = np.repeat(np.arange(len(parts)), np.maximum(sizes - length + 1, 0))
     if not len(part):
@@ -108,11 +109,11 @@ def blocks(texts: list[bytes], length: int, size: int) -> Iterator[tuple[list[in
         yield rows, bases, parts
 
 
-def passages(texts: list[bytes], length: int = LENGTH, size: int = BLOCK):
+def passages(texts: list[bytes], length: int = LENGTH, size: int = BLOCK, seek: bool = False):
     """Per group of blocks: rows, starts in the whole text, anchor hashes, whether the anchor may occur twice in a
     string, and the bytes of each run."""
     for rows, bases, parts in blocks(texts, length, size):
-        part, start, count, h, twice = anchors(parts, length)
+        part, start, count, h, twice = anchors(parts, length, seek)
         rows, bases = np.array(rows)[part], np.array(bases)[part]
         yield rows, bases + start, h, twice, lambda i, p=part, s=start, c=count, t=parts: t[p[i]][s[i] : s[i] + c[i] + length - 1]
 
@@ -303,7 +304,7 @@ def shared_anchors(rows: DataFrame, length: int, per_anchor: int) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            for _, _, h, twice, _ in passages(_bytes(batch.column("text")), length):
+            for _, _, h, twice, _ in passages(_bytes(batch.column("text")), length, seek=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(h, 1 + twice))], names=["h"])
 
     counts = rows.select("text").mapInArrow(work, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
