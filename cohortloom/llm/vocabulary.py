@@ -34,23 +34,28 @@ def load(name: str):
 class Memo:
     """Token ids of units that no token crosses, each unit encoded once while it is held.
 
-    Beyond ``limit`` units the memo starts anew; results do not depend on it.
+    Beyond ``limit`` units those that were hardly used go; results do not depend on it.
     """
 
-    def __init__(self, encode: Callable[[Sequence[str]], Sequence[Sequence[int]]], limit: int = 1_000_000):
+    def __init__(self, encode: Callable[[Sequence[str]], Sequence[Sequence[int]]], limit: int = 500_000):
         self.encode, self.limit = encode, limit
-        self.clear()
-
-    def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
+        self.starts = self.lengths = self.uses = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
+    def trim(self) -> None:
+        """Keep what was used most, half of the limit at most, and count anew."""
+        least = max(3, int(np.partition(self.uses, -self.limit // 2)[-self.limit // 2]) + 1)
+        kept = np.flatnonzero(self.uses >= least)
+        units = list(self.index)
+        self.flat, self.lengths = self.ids(kept), self.lengths[kept]
+        self.starts, self.uses = np.cumsum(self.lengths) - self.lengths, np.zeros(len(kept), np.int64)
+        self.index = {units[i]: n for n, i in enumerate(kept.tolist())}
+
     def places(self, units: list[str]) -> np.ndarray:
         """The place of every unit in ``starts`` and ``lengths``."""
         if len(self.index) > self.limit:
-            self.clear()
+            self.trim()
         found = np.fromiter(map(self.index.get, units, itertools.repeat(-1)), np.int64, len(units))
         missing = np.flatnonzero(found < 0).tolist()
         if missing:
@@ -64,6 +69,7 @@ class Memo:
             self.lengths = np.concatenate([self.lengths, lengths])
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
             found[missing] = [self.index[units[i]] for i in missing]
+        self.uses = np.bincount(found, minlength=len(self.lengths)) + np.pad(self.uses, (0, len(self.lengths) - len(self.uses)))
         return found
 
     def ids(self, places: np.ndarray) -> np.ndarray:
