@@ -26,6 +26,7 @@ SMALL_GRID = {
     "subsample": [0.8],
 }
 ROUNDS, DEPTH = 2, 2
+BINS = 10
 NODE = ["study", "config_id", "tree_id", "node_id"]
 
 
@@ -47,7 +48,7 @@ def _grid(spark, sf):
 
 def _bins(spark, sf):
     rows = keep(vec_features(spark, sf))
-    return bo.bin_features(rows, bo.bin_cuts(rows)).select("study", "sample_id", "feature", "bin")
+    return bo.bin_features(rows, bo.bin_cuts(rows, BINS)).select("study", "sample_id", "feature", "bin")
 
 
 def _margin_rows(spark, sf):
@@ -76,7 +77,7 @@ def _col_sampling(spark, sf):
 
 
 def training_inputs(spark, sf):
-    samples, lists = bo.prepare_samples(vec_features(spark, sf), d.vec_labels(spark, sf))
+    samples, lists = bo.prepare_samples(vec_features(spark, sf), d.vec_labels(spark, sf), BINS)
     return samples, keep(lists)
 
 

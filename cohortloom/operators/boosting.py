@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import round9, sigmoid, unit_hash
-from ..session import written
 from .roc import auc, ranked_counts
 from .scale import attach, exact_quantiles, keep
 
@@ -85,7 +84,7 @@ def study_seeds(studies: DataFrame, base: int = BASE_SEED) -> DataFrame:
 # ---- binning ---------------------------------------------------------------
 
 
-def bin_cuts(expression: DataFrame, bins: int = 10, exact: bool = True) -> DataFrame:
+def bin_cuts(expression: DataFrame, bins: int = 256, exact: bool = True) -> DataFrame:
     """Inner quantile cut points per study and feature, rounded to 6 digits.
 
     ``exact=False`` reads them off a mergeable sketch in one pass over the rows.
@@ -247,7 +246,6 @@ def grow_trees(
     rounds: int,
     max_depth: int,
     checkpoints: list[int] | None = None,
-    cut_every: int = 4,
     base_margin: float = 0.0,
 ) -> tuple[DataFrame, DataFrame]:
     """Train every (study, config_id) of ``trainings`` for ``rounds`` rounds.
@@ -257,7 +255,7 @@ def grow_trees(
     every sample's margin after each of the ``checkpoints`` rounds (default: the
     last), a training contributing no tree beyond its own ``nrounds``. The split
     table of a level is kept and joined back; lineage ends in a written table
-    every ``cut_every`` rounds.
+    every round.
     """
     checkpoints = checkpoints or [rounds]
     trainings = keep(trainings)
@@ -290,11 +288,7 @@ def grow_trees(
             grown.append(splits.withColumn("tree_id", F.lit(tree)))
             rows = descend(rows, splits)
         new = rows.withColumn("margin", F.col("margin") + F.coalesce("margin_step", F.lit(0.0))).select(*state.columns)
-        if (tree + 1) % cut_every == 0 and tree + 1 < rounds:
-            new = written(new, "boosting-state")
-        else:
-            new = keep(new)
-        state = new
+        state = keep(new)
         if tree + 1 in checkpoints:
             margins.append(state.select(*TRAINING, F.lit(tree + 1).alias("nrounds"), "sample_id", "label", "margin"))
     at_checkpoints = margins[0]
@@ -332,7 +326,7 @@ def name_nodes(grown: list[DataFrame], lists: DataFrame) -> DataFrame:
 
 
 def prepare_samples(
-    expression: DataFrame, labels: DataFrame, bins: int = 10, exact: bool = True
+    expression: DataFrame, labels: DataFrame, bins: int = 256, exact: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """(samples, lists): binned rows and per-study feature lists.
 

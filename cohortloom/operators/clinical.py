@@ -65,12 +65,21 @@ def encode_response(response="response") -> Column:
 
 
 def harmonize_treatment(treatment) -> Column:
-    """PD-1 and PD-L1 spellings to one class, CTLA4 combinations to another."""
+    """PD-1 and PD-L1 agents to one class, combinations with CTLA-4 to another.
+
+    A text is split at + / , ; and "and"; "anti-", hyphens and blanks are dropped from each part, and the set of
+    targets decides. Any other text is passed on, trimmed.
+    """
     col = F.col(treatment) if isinstance(treatment, str) else treatment
-    low = F.lower(F.trim(col))
+    parts = F.split(F.lower(F.trim(col)), r"\s*(?:[+/,;&]|\band\b)\s*")
+    targets = F.array_distinct(
+        F.filter(F.transform(parts, lambda p: F.regexp_replace(F.regexp_replace(p, "^anti", ""), "[^a-z0-9]", "")), lambda t: t != "")
+    )
+    axis = F.array(*[F.lit(t) for t in ("pd1", "pdl1")])
+    combined = F.exists(targets, lambda t: t.contains("ctla4") | t.contains("combo"))
     return (
-        F.when(low.contains("combo") | low.contains("ctla4"), "IO+combo")
-        .when(low.rlike("^(anti-)?pd-l?1(/(anti-)?pd-l?1)?$") | (low == "pd-(l)1"), "PD-(L)1")
+        F.when(combined, "IO+combo")
+        .when((F.size(targets) > 0) & (F.size(F.array_except(targets, axis)) == 0), "PD-(L)1")
         .otherwise(F.trim(col))
     )
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import literal_rows, round9
+from ..functions import round9
 from .scale import BUCKETS, attach, cumulative
 
 KEYS = ("study", "model_id")
@@ -58,8 +58,8 @@ def roc_curve(ranked: DataFrame, keys=KEYS) -> DataFrame:
 
 def auc(ranked: DataFrame, keys=KEYS) -> DataFrame:
     """Rank-sum area, ties one half; NULL when a class is absent."""
-    wins = F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / F.lit(2.0)))
-    pairs = F.nullif(F.max("total_pos") * F.max("total_neg"), F.lit(0).cast("bigint"))
+    wins = F.sum(F.col("pos").cast("double") * (F.col("before_neg") + F.col("neg") / F.lit(2.0)))
+    pairs = F.nullif(F.max("total_pos").cast("double") * F.max("total_neg"), F.lit(0.0))
     return ranked.groupBy(*keys).agg((wins / pairs).alias("auc"))
 
 
@@ -74,8 +74,8 @@ def _median(kind: str):
 
 def roc_direction(ranked: DataFrame, keys=KEYS) -> DataFrame:
     """AUC with the direction chosen from the class medians."""
-    wins = F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / F.lit(2.0)))
-    pairs = F.nullif(F.max("total_pos") * F.max("total_neg"), F.lit(0).cast("bigint"))
+    wins = F.sum(F.col("pos").cast("double") * (F.col("before_neg") + F.col("neg") / F.lit(2.0)))
+    pairs = F.nullif(F.max("total_pos").cast("double") * F.max("total_neg"), F.lit(0.0))
     medians = ranked.groupBy(*keys).agg(
         _median("neg").alias("median_control"), _median("pos").alias("median_case"), (wins / pairs).alias("auc")
     )
@@ -96,10 +96,12 @@ def youden_threshold(ranked: DataFrame, keys=KEYS) -> DataFrame:
     A threshold lies midway between neighbouring scores and is infinite at the
     ends. The criterion is compared as whole numbers.
     """
-    tp = F.col("total_pos") - F.col("before_pos")
+    whole = lambda c: c.cast("decimal(19,0)")
+    pos, neg = whole(F.col("total_pos")), whole(F.col("total_neg"))
+    tp = whole(F.col("total_pos") - F.col("before_pos"))
     cut = F.coalesce((F.col("previous") + F.col("score")) / F.lit(2.0), F.lit(float("-inf")))
-    here = F.struct((tp * F.col("total_neg") + F.col("before_neg") * F.col("total_pos")).alias("j"), cut.alias("cut"))
-    end = F.struct((F.col("total_neg") * F.col("total_pos")).alias("j"), F.lit(float("inf")).alias("cut"))
+    here = F.struct((tp * neg + whole(F.col("before_neg")) * pos).cast("decimal(38,0)").alias("j"), cut.alias("cut"))
+    end = F.struct((neg * pos).cast("decimal(38,0)").alias("j"), F.lit(float("inf")).alias("cut"))
     last = (F.col("before_pos") + F.col("pos") == F.col("total_pos")) & (
         F.col("before_neg") + F.col("neg") == F.col("total_neg")
     )
@@ -107,9 +109,9 @@ def youden_threshold(ranked: DataFrame, keys=KEYS) -> DataFrame:
         ranked.filter((F.col("total_pos") > 0) & (F.col("total_neg") > 0))
         .select(*keys, "total_pos", "total_neg", F.inline(F.when(last, F.array(here, end)).otherwise(F.array(here))))
         .groupBy(*keys, "j")
-        .agg(F.avg("cut").alias("cut"), F.max(F.col("total_pos") * F.col("total_neg")).alias("scale"))
+        .agg(F.avg("cut").alias("cut"), F.max(F.col("total_pos").cast("double") * F.col("total_neg")).alias("scale"))
         .groupBy(*keys)
-        .agg(F.max_by("cut", "j").alias("threshold"), (F.max("j") / F.max("scale")).alias("sens_plus_spec"))
+        .agg(F.max_by("cut", "j").alias("threshold"), (F.max("j").cast("double") / F.max("scale")).alias("sens_plus_spec"))
     )
 
 
@@ -206,22 +208,6 @@ def auc_long(local: DataFrame, merged: DataFrame, signature: DataFrame) -> DataF
     )
 
 
-# Figure titles of the validation studies.
-STUDY_TITLES = {
-    "testDataINSPIRE": "INSPIRE: Pan-Cancer (N = 60)",
-    "testDataIMmotion150": "IMmotion150: Kidney (N = 54)",
-    "testDataPOPLAR": "POPLAR: Lung (N = 70)",
-    "testDataHartwig": "Hartwig: Pan-Cancer (N = 145)",
-    "testDataHartwig_Bladder": "Hartwig: Bladder (N = 38)",
-    "testDataHartwig_Melanoma": "Hartwig: Melanoma (N = 66)",
-    "testDataRittmeyer_Lung": "Rittmeyer: Lung (N = 274)",
-}
-
-
-def title_table(spark, titles: dict[str, str] = STUDY_TITLES) -> DataFrame:
-    return literal_rows(spark, "study string, title string", list(titles.items()))
-
-
 def report_labels(summary: DataFrame, titles: DataFrame) -> DataFrame:
     """Study title and "name AUC: x [low-high]", two decimals.
 

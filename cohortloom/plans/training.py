@@ -20,14 +20,14 @@ def training_features(
     signature: DataFrame,
     info: DataFrame,
     selected: DataFrame,
-    cohorts: int | None = 3,
+    cohorts: int | None = None,
     kcdf: str = "none",
 ) -> tuple[DataFrame, DataFrame]:
     """(scores, valid): complete scores of the features all studies share.
 
     ``expression`` is in TPM. Gates come before scoring and unselected signatures
     are not scored at all; signatures are scored independently, so the result is
-    the same.
+    the same. All studies take part unless ``cohorts`` asks for the first few by name.
     """
     clinical = first_k_cohorts(clinical, cohorts) if cohorts else clinical
     valid = keep(cl.cohort_size_gate(cl.drop_missing_response(clinical.select("study", "sample_id", "response"))))
@@ -39,7 +39,7 @@ def training_features(
 
 
 def train_local_models(
-    scores: DataFrame, valid: DataFrame, grid: dict[str, list] = bo.GRID, bins: int = 10
+    scores: DataFrame, valid: DataFrame, grid: dict[str, list] = bo.GRID, bins: int = 256
 ) -> dict[str, DataFrame]:
     """Grid search per study and the chosen model: model, tree_node, importance, summary."""
     rows = scores.select("study", "sample_id", F.col("signature").alias("feature"), F.col("score").alias("value"))

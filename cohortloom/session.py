@@ -35,12 +35,13 @@ def build_session(app: str = "cohortloom", master: str | None = None, **conf) ->
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can read: the one the cluster names.
 
-    Only a local session without the setting gets a folder of its own.
+    Only a session in one process without the setting gets a folder of its own; ``local-cluster`` counts as a cluster.
     """
     folder = spark.conf.get(CHECKPOINT_CONF, None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="cohortloom-")
     spark.conf.set(CHECKPOINT_CONF, folder)

@@ -87,7 +87,7 @@ def test_select_best_takes_first_of_ties(spark):
 
 def test_sketched_cuts_are_close_to_exact_ones(spark, sf):
     rows = keep(m.vec_features(spark, sf))
-    exact, near = bo.bin_cuts(rows), bo.bin_cuts(rows, exact=False).withColumnRenamed("cuts", "near")
+    exact, near = bo.bin_cuts(rows, 10), bo.bin_cuts(rows, 10, exact=False).withColumnRenamed("cuts", "near")
     gap = F.array_max(F.zip_with("cuts", "near", lambda a, b: F.abs(a - b)))
     worst = exact.join(near, ["study", "feature"]).agg(F.max(gap), F.count("*")).first()
     assert worst[0] < 0.05 and worst[1] == 5 * 64
