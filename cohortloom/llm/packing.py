@@ -54,7 +54,7 @@ def units(text: str) -> list[str]:
 
 @functools.cache
 def _memo(tokenizer: str) -> Memo:
-    return Memo(lambda new: [e.ids for e in load(tokenizer).encode_batch(new, add_special_tokens=False)])
+    return Memo(lambda new: [e.ids for e in load(tokenizer).encode_batch_fast(new, add_special_tokens=False)])
 
 
 def encoded(tokenizer: str, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
