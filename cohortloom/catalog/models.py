@@ -207,15 +207,18 @@ def _predict(spark, sf):
     return margins_and_scores(stump_predictions(spark, sf))
 
 
-def _predict_global(spark, sf):
-    model, tree_node = _stumps(spark, sf)
-    merged, head = keep(fo.merge_trees(model, tree_node)), fo.global_header(model)
+def _global_margins(spark, sf, head, merged):
     scores = d.vec_expression(spark, sf).select(
         "study", "sample_id", F.col("gene_id").alias("signature"), F.col("value").alias("score")
     )
     return margins_and_scores(fo.predict_trees(fo.sample_vectors(scores, merged), merged, head))
 
 
+def _predict_global(spark, sf):
+    model, tree_node = _stumps(spark, sf)
+    return _global_margins(spark, sf, fo.global_header(model), keep(fo.merge_trees(model, tree_node)))
+
+
 def _model_summary(spark, sf):
     model, tree_node = _stumps(spark, sf)
     settings = bo.param_grid(model.select("study")).filter("config_id = 1")
@@ -230,6 +233,15 @@ def _round_trip(spark, sf):
     return path
 
 
+def _merge_documents(spark, sf):
+    """Local documents are read and merged; the merged document is written, read again and predicts."""
+    local, local_nodes = mo.import_tree_model(spark, _round_trip(spark, sf))
+    path = scratch_path(spark, "merged-json")
+    mo.export_tree_model(fo.global_header(local), fo.merge_trees(local, local_nodes), path)
+    head, nodes = mo.import_tree_model(spark, path)
+    return _global_margins(spark, sf, head, keep(nodes))
+
+
 _IMPORTED = ["model_id", "tree_id", "node_id", "feature", "threshold", "left", "right", "leaf_value", "gain", "cover"]
 
 
@@ -427,7 +439,19 @@ q.cte("branked", "bcount", q.ranked_text("bcount"))
 
 _NODE_SQL = """study, config_id, tree_id, node_id, feature, round(threshold, 6) AS threshold, round(leaf_value, 6) AS leaf_value,
  round(gain, 6) AS gain, round(cover, 6) AS cover"""
-_TREE_SQL = """SELECT model_id, tree_id, node_id, feature, threshold, "left", "right", leaf_value, gain, cover FROM stump"""
+_PLACES = [
+    (
+        "placed",
+        "SELECT *, CAST(row_number() OVER (PARTITION BY model_id, tree_id ORDER BY node_id) - 1 AS INTEGER) AS place FROM stump",
+    )
+]
+#: Documents number the nodes of a tree without gaps.
+_TREE_SQL = """SELECT t.model_id, t.tree_id, t.place AS node_id, t.feature, t.threshold, l.place AS "left", r.place AS "right",
+ t.leaf_value, t.gain, t.cover FROM placed t
+ LEFT JOIN placed l ON l.model_id = t.model_id AND l.tree_id = t.tree_id AND l.node_id = t."left"
+ LEFT JOIN placed r ON r.model_id = t.model_id AND r.tree_id = t.tree_id AND r.node_id = t."right""""
+_GLOBAL_SQL = f"""SELECT study, sample_id, 'global' AS model_id, round(sum(margin), 6) AS margin, round({q.sigmoid('sum(margin)')}, 6) AS score
+ FROM stump_margin GROUP BY study, sample_id"""
 
 QUERIES = {
     "param_grid": (_grid, q.query("gated", grid_text("gated", bo.GRID))),
@@ -521,14 +545,7 @@ QUERIES = {
             f"SELECT study, sample_id, model_id, round(margin, 6) AS margin, round({q.sigmoid('margin')}, 6) AS score FROM vpred",
         ),
     ),
-    "predict_global": (
-        _predict_global,
-        q.query(
-            "stump_margin",
-            f"""SELECT study, sample_id, 'global' AS model_id, round(sum(margin), 6) AS margin, round({q.sigmoid('sum(margin)')}, 6) AS score
-            FROM stump_margin GROUP BY study, sample_id""",
-        ),
-    ),
+    "predict_global": (_predict_global, q.query("stump_margin", _GLOBAL_SQL)),
     "model_summary": (
         _model_summary,
         q.query(
@@ -538,8 +555,9 @@ QUERIES = {
             FROM stump GROUP BY model_id""",
         ),
     ),
-    "import_tree_model": (_import, q.query("stump", _TREE_SQL)),
-    "import_tree_lines": (_import_lines, q.query("stump", _TREE_SQL)),
+    "import_tree_model": (_import, q.query("stump", _TREE_SQL, _PLACES)),
+    "import_tree_lines": (_import_lines, q.query("stump", _TREE_SQL, _PLACES)),
+    "merge_documents": (_merge_documents, q.query("stump_margin", _GLOBAL_SQL)),
     "export_tree_model": (
         _export,
         q.query(

@@ -1,7 +1,7 @@
 """Tree models as tables: counting, merging, describing, predicting.
 
-``model`` is one row per model; ``tree_node`` one row per node. Nodes are
-numbered as in a heap: the children of n are 2n+1 and 2n+2.
+``model`` is one row per model; ``tree_node`` one row per node. ``left`` and
+``right`` name a node's children; the root has the least ``node_id`` of its tree.
 """
 
 from __future__ import annotations
@@ -16,14 +16,50 @@ CHUNK_TREES = 64
 MAX_BROADCAST_CHUNKS = 64
 
 
-def node_depth(node_id="node_id") -> Column:
-    return F.floor(F.log2(F.col(node_id) + F.lit(1.000001))).cast("int")
+def tree_depth(nodes: str = "nodes") -> Column:
+    """Levels below the root of a linked tree, read off its child positions."""
 
+    def descend(state: Column, _: Column) -> Column:
+        node = lambda i: F.get(F.col(nodes), i)
+        below = F.flatten(F.transform(state["level"], lambda i: F.array(node(i)["left"], node(i)["right"])))
+        below = F.filter(below, lambda i: i.isNotNull())
+        return F.struct(below.alias("level"), (state["depth"] + (F.size(below) > 0).cast("int")).alias("depth"))
 
-def model_tree_counts(tree_node: DataFrame) -> DataFrame:
-    return tree_node.groupBy("model_id").agg(
-        F.count_distinct("tree_id").alias("num_trees"), F.lit(1).cast("bigint").alias("num_parallel_tree")
+    start = F.struct(F.array(F.lit(0)).alias("level"), F.lit(0).alias("depth"))
+    return F.aggregate(nodes, start, descend, lambda state: state["depth"])
+
+
+def linked_trees(tree_node: DataFrame) -> DataFrame:
+    """(model_id, tree_id, nodes): a tree is an array of nodes with its root first;
+    children are given by array position, features by catalog position (``at``).
+    """
+    places = feature_catalog(tree_node).select(F.posexplode("features").alias("_at", "feature"))
+    listed = F.sort_array(
+        F.collect_list(F.struct("node_id", "_at", "threshold", "left", "right", "default_left", "leaf_value"))
+    )
+    position = lambda i: (F.array_position("_nodes.node_id", i) - 1).cast("int")
+    linked = F.transform(
+        "_nodes",
+        lambda n: F.struct(
+            n["_at"].alias("at"),
+            n["threshold"].alias("threshold"),
+            position(n["left"]).alias("left"),
+            position(n["right"]).alias("right"),
+            n["default_left"].alias("default_left"),
+            n["leaf_value"].alias("leaf"),
+        ),
     )
+    gathered = attach(tree_node, places, ["feature"], "left").groupBy("model_id", "tree_id").agg(listed.alias("_nodes"))
+    return gathered.select("model_id", "tree_id", linked.alias("nodes"))
+
+
+def model_tree_counts(tree_node: DataFrame, model: DataFrame | None = None) -> DataFrame:
+    """Trees per model; ``num_parallel_tree`` as the model's row states it, else 1."""
+    counts = tree_node.groupBy("model_id").agg(F.count_distinct("tree_id").alias("num_trees"))
+    if model is None or "num_parallel_tree" not in model.columns:
+        return counts.withColumn("num_parallel_tree", F.lit(1).cast("bigint"))
+    stated = model.select("model_id", F.col("num_parallel_tree").cast("bigint").alias("num_parallel_tree"))
+    return attach(counts, stated, ["model_id"], "left")
 
 
 def model_offsets(model: DataFrame) -> DataFrame:
@@ -48,12 +84,14 @@ def merge_trees(model: DataFrame, tree_node: DataFrame, model_id: str = "global"
 
 
 def global_header(model: DataFrame, model_id: str = "global", combine: str = "sum") -> DataFrame:
-    """The merged model's row: other fields from the first model, counts rebuilt.
+    """The merged model's row: every other field from the first model, counts rebuilt.
 
     ``combine='mean'`` scales the summed leaves by one over the number of models.
     """
     n_models = F.count(F.lit(1))
-    first = F.min_by(F.struct("study", "config_id", "base_margin"), F.struct("study", "model_id"))
+    rebuilt = {"model_id", "n_trees", "leaf_scale", "tree_info", "iteration_indptr"}
+    carried = F.struct(*[c for c in model.columns if c not in rebuilt])
+    first = F.min_by(carried, F.struct("study", "model_id"))
     return model.agg(
         F.when(n_models == 0, F.raise_error(F.lit("no local models found")).cast("string"))
         .otherwise(F.lit(model_id))
@@ -77,9 +115,10 @@ def model_summary(model: DataFrame, tree_node: DataFrame, params: DataFrame) ->
     """``params``: model_id, eta, colsample, subsample."""
     seen = tree_node.groupBy("model_id").agg(
         F.count_distinct("tree_id").alias("num_trees"),
-        F.max(node_depth()).alias("max_depth"),
         F.count_distinct("feature").alias("num_features"),
     )
+    depths = linked_trees(tree_node).groupBy("model_id").agg(F.max(tree_depth()).alias("max_depth"))
+    seen = attach(seen, depths, ["model_id"])
     return attach(attach(model.select("model_id"), seen, ["model_id"]), params, ["model_id"], "left").select(
         "model_id",
         "num_trees",
@@ -106,59 +145,46 @@ def feature_catalog(tree_node: DataFrame) -> DataFrame:
 def sample_vectors(scores: DataFrame, tree_node: DataFrame) -> DataFrame:
     """``x``: a sample's values along the feature catalog, NULL where absent.
 
-    ``scores`` is (study, sample_id, signature, score). Features no tree uses
-    never reach the shuffle.
+    ``scores`` is (study, sample_id, signature, score). Every sample has a row, also
+    one with none of the features. Values no tree uses are dropped before the shuffle.
     """
     catalog = keep(feature_catalog(tree_node))
     places = catalog.select(F.posexplode("features").alias("_at", "signature"))
     size = catalog.select(F.size("features").alias("n"))
-    gathered = attach(scores, places, ["signature"]).groupBy("study", "sample_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("_at", "score"))).alias("_m")
+    used = F.when(F.col("_at").isNotNull(), F.struct("_at", "score"))
+    gathered = attach(scores, places, ["signature"], "left").groupBy("study", "sample_id").agg(
+        F.map_from_entries(F.collect_list(used)).alias("_m")
     )
+    positions = F.slice(F.sequence(F.lit(0), F.col("_n")), F.lit(1), F.col("_n"))
     return gathered.withColumn("_n", size.scalar()).select(
-        "study", "sample_id", F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.col("_m")[i]).alias("x")
+        "study", "sample_id", F.transform(positions, lambda i: F.col("_m")[i]).alias("x")
     )
 
 
-def tree_chunks(tree_node: DataFrame, chunk_trees: int = CHUNK_TREES) -> DataFrame:
+def tree_chunks(tree_node: DataFrame, model: DataFrame, chunk_trees: int = CHUNK_TREES) -> DataFrame:
     """Trees packed for prediction: (model_id, chunk, trees), numbered over all models.
 
-    A tree is an array of nodes; children are given by array position, features
-    by catalog position. A chunk holds at most ``chunk_trees`` trees of a model.
+    A chunk holds at most ``chunk_trees`` trees of a model; a model without trees
+    has one empty chunk. Numbers stand on a window over one row per model.
     """
-    places = feature_catalog(tree_node).select(F.posexplode("features").alias("_at", "feature"))
-    tree = Window.partitionBy("model_id", "tree_id").orderBy("node_id")
-    placed = attach(tree_node, places, ["feature"], "left").withColumn("_pos", F.row_number().over(tree) - 1)
-    listed = F.sort_array(
-        F.collect_list(
-            F.struct("_pos", "node_id", "_at", "threshold", "left", "right", "default_left", "leaf_value")
-        )
+    trees = linked_trees(tree_node).select(
+        "model_id",
+        F.floor(F.col("tree_id") / chunk_trees).cast("int").alias("_part"),
+        F.struct(tree_depth().alias("depth"), "nodes").alias("tree"),
     )
-    dense = F.transform(
-        "_nodes",
-        lambda n: F.struct(
-            n["_at"].alias("at"),
-            n["threshold"].alias("threshold"),
-            (F.array_position("_nodes.node_id", n["left"]) - 1).cast("int").alias("left"),
-            (F.array_position("_nodes.node_id", n["right"]) - 1).cast("int").alias("right"),
-            n["default_left"].alias("default_left"),
-            n["leaf_value"].alias("leaf"),
-        ),
+    filled = trees.groupBy("model_id", "_part").agg(F.collect_list("tree").alias("trees"))
+    chunks = model.select("model_id").join(filled, "model_id", "left").select(
+        "model_id", F.coalesce("_part", F.lit(0)).alias("_part"), F.coalesce("trees", F.array()).alias("trees")
+    )
+    ordered = Window.partitionBy(F.lit(0)).orderBy("model_id").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = (
+        chunks.groupBy("model_id")
+        .agg((F.max("_part") + 1).alias("_n"))
+        .select("model_id", F.coalesce(F.sum("_n").over(ordered), F.lit(0)).cast("int").alias("_first"))
     )
-    depth = F.array_max(F.transform("_nodes.node_id", lambda i: F.floor(F.log2(i + F.lit(1.000001))).cast("int")))
-    trees = (
-        placed.groupBy("model_id", "tree_id")
-        .agg(listed.alias("_nodes"))
-        .select(
-            "model_id",
-            F.floor(F.col("tree_id") / chunk_trees).cast("int").alias("_part"),
-            F.struct(depth.alias("depth"), dense.alias("nodes")).alias("tree"),
-        )
+    return attach(chunks, firsts, ["model_id"]).select(
+        "model_id", "trees", (F.col("_first") + F.col("_part")).alias("chunk")
     )
-    chunks = trees.groupBy("model_id", "_part").agg(F.collect_list("tree").alias("trees"))
-    numbered = Window.partitionBy(F.lit(0)).orderBy("model_id", "_part")
-    numbers = chunks.select("model_id", "_part").withColumn("chunk", (F.row_number().over(numbered) - 1).cast("int"))
-    return chunks.join(numbers, ["model_id", "_part"])
 
 
 def _walk(tree: Column) -> Column:
@@ -183,12 +209,15 @@ def predict_trees(
 ) -> DataFrame:
     """Every model on every sample: study, sample_id, model_id, margin, score.
 
+    One row per sample and model: absent features and NULL values take the default
+    branch, and a model without trees gives its base margin.
+
     Few chunks are broadcast, so samples never move. With many chunks a sample
     is repeated once per chunk, meets its chunk in a salted join, and partial
     margins are summed.
     """
-    chunks = keep(tree_chunks(tree_node, chunk_trees))
-    n_chunks, n_models = chunks.agg(F.count(F.lit(1)), F.count_distinct("model_id")).first()
+    chunks = keep(tree_chunks(tree_node, model, chunk_trees))
+    n_chunks, n_models = chunks.agg(F.coalesce(F.max("chunk") + 1, F.lit(0)), F.count_distinct("model_id")).first()
     spread = vectors.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
     part = F.aggregate("trees", F.lit(0.0), lambda acc, t: acc + _walk(t))
     partial = attach(spread, chunks, ["chunk"], max_rows=max_chunks).select(

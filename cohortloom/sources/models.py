@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import sigmoid
 from ..operators.forest import feature_catalog
@@ -17,6 +18,8 @@ TREE_SCHEMA = (
     "right_children ARRAY<INT>, parents ARRAY<INT>, split_indices ARRAY<INT>, split_conditions ARRAY<DOUBLE>, "
     "default_left ARRAY<INT>, loss_changes ARRAY<DOUBLE>, sum_hessian ARRAY<DOUBLE>"
 )
+#: A list of strings, brackets and quotes inside them included.
+_NAMES = r'"feature_names"\s*:\s*(\[(?:"(?:[^"\\]|\\.)*+"|[\s,])*+\])'
 DOCUMENT_SCHEMA = (
     "learner STRUCT<feature_names: ARRAY<STRING>, learner_model_param: STRUCT<base_score: STRING, num_feature: STRING>, "
     "gradient_booster: STRUCT<model: STRUCT<gbtree_model_param: STRUCT<num_trees: STRING, num_parallel_tree: STRING>, "
@@ -40,11 +43,9 @@ def packed_trees(tree_node: DataFrame) -> DataFrame:
     ids = F.col("n.node_id")
     place = lambda i: (F.array_position(ids, i) - 1).cast("int")
     child = lambda side: F.transform("n", lambda n: F.coalesce(place(n[side]), F.lit(-1)))
+    above = lambda i: F.greatest(F.array_position("n.left", i), F.array_position("n.right", i)).cast("int")
     parent = F.transform(
-        "n",
-        lambda n: F.when(n["node_id"] == 0, F.lit(ROOT_PARENT)).otherwise(
-            place(F.floor((n["node_id"] - 1) / 2).cast("int"))
-        ),
+        ids, lambda i: F.when(above(i) == 0, F.lit(ROOT_PARENT)).otherwise(above(i) - 1)
     )
     filled = lambda field, default: F.transform(f"n.{field}", lambda v: F.coalesce(v, F.lit(default)))
     return packed.select(
@@ -52,7 +53,6 @@ def packed_trees(tree_node: DataFrame) -> DataFrame:
         "tree_id",
         F.struct(
             F.col("tree_id").alias("id"),
-            F.struct(F.size("n").cast("string").alias("num_nodes"), F.lit("0").alias("num_feature")).alias("tree_param"),
             child("left").alias("left_children"),
             child("right").alias("right_children"),
             parent.alias("parents"),
@@ -61,6 +61,7 @@ def packed_trees(tree_node: DataFrame) -> DataFrame:
             F.transform("n", lambda n: n["default_left"].cast("int")).alias("default_left"),
             filled("gain", 0.0).alias("loss_changes"),
             filled("cover", 0.0).alias("sum_hessian"),
+            F.struct(F.size("n").cast("string").alias("num_nodes"), F.lit("0").alias("num_feature")).alias("tree_param"),
         ).alias("tree"),
     )
 
@@ -118,47 +119,32 @@ def export_tree_model(model: DataFrame, tree_node: DataFrame, path: str) -> None
 
 
 def _nodes(trees: DataFrame) -> DataFrame:
-    """tree_node rows of parsed trees: (model_id, names, tree)."""
-    t = lambda f: F.col(f"tree.{f}")
-    # heap numbers from parents; a parent always precedes its children
-    heap = F.aggregate(
-        F.sequence(F.lit(1), F.size(t("parents")) - 1),
-        F.array(F.lit(0)),
-        lambda ids, i: F.concat(
-            ids,
-            F.array(
-                F.get(ids, F.get(t("parents"), i)) * 2
-                + 1
-                + (F.get(t("right_children"), F.get(t("parents"), i)) == i).cast("int")
-            ),
-        ),
-    )
-    heap = F.when(F.size(t("parents")) > 1, heap).otherwise(F.array(F.lit(0)))
-    rows = trees.withColumn("ids", heap).select(
-        "model_id",
-        t("id").alias("tree_id"),
-        "names",
+    """tree_node rows of parsed trees (model_id, names, tree), numbered as in the document.
+
+    A node other than the root that has no parent was deleted and is left out. A split
+    on a feature without a name is called ``f`` and its index.
+    """
+    t = lambda f: F.col(f"tree.{f}").alias(f)
+    fields = ["left_children", "right_children", "parents", "split_indices", "split_conditions", "default_left"]
+    rows = trees.select(
+        "model_id", F.col("tree.id").alias("tree_id"), "names",
         F.inline(
             F.arrays_zip(
-                F.col("ids"),
-                t("left_children").alias("left_children"),
-                t("split_indices").alias("split_indices"),
-                t("split_conditions").alias("split_conditions"),
-                t("default_left").alias("default_left"),
-                t("loss_changes").alias("loss_changes"),
-                t("sum_hessian").alias("sum_hessian"),
+                F.sequence(F.lit(0), F.size("tree.left_children") - 1).alias("node_id"),
+                *[t(f) for f in [*fields, "loss_changes", "sum_hessian"]],
             )
         ),
-    )
+    ).filter((F.col("node_id") == 0) | (F.col("parents") != ROOT_PARENT))
     split = F.col("left_children") >= 0
+    name = F.coalesce(F.get("names", F.col("split_indices")), F.concat(F.lit("f"), F.col("split_indices").cast("string")))
     return rows.select(
         "model_id",
         "tree_id",
-        F.col("ids").alias("node_id"),
-        F.when(split, F.get("names", F.col("split_indices"))).alias("feature"),
+        "node_id",
+        F.when(split, name).alias("feature"),
         F.when(split, F.col("split_conditions")).alias("threshold"),
-        F.when(split, F.col("ids") * 2 + 1).alias("left"),
-        F.when(split, F.col("ids") * 2 + 2).alias("right"),
+        F.when(split, F.col("left_children")).alias("left"),
+        F.when(split, F.col("right_children")).alias("right"),
         (F.col("default_left") == 1).alias("default_left"),
         F.when(~split, F.col("split_conditions")).alias("leaf_value"),
         F.when(split, F.col("loss_changes")).alias("gain"),
@@ -168,8 +154,8 @@ def _nodes(trees: DataFrame) -> DataFrame:
 
 def _model_id():
     parts = F.split(F.col("_metadata.file_path"), "/")
-    parent = F.element_at(parts, -2)
-    return F.when(parent.startswith("model_id="), F.substring(F.url_decode(parent), 10, 10_000)).otherwise(
+    parent = F.url_decode(F.element_at(parts, -2))
+    return F.when(parent.startswith("model_id="), F.regexp_replace(parent, "^model_id=", "")).otherwise(
         file_stem(F.col("_metadata.file_path"))
     )
 
@@ -178,8 +164,12 @@ def import_tree_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     """(model, tree_node) of all JSON documents below ``path``, one document per file."""
     raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     parsed = raw.select(_model_id().alias("model_id"), F.from_json("value", DOCUMENT_SCHEMA).alias("d"))
+    readable = F.col("d.learner.gradient_booster.model.trees").isNotNull()
+    fail = F.raise_error(F.concat(F.lit("no tree model in document "), F.col("model_id")))
+    parsed = parsed.select(F.when(readable, F.col("model_id")).otherwise(fail.cast("string")).alias("model_id"), "d")
     booster = "d.learner.gradient_booster.model"
-    base = F.col("d.learner.learner_model_param.base_score").cast("double")
+    # newer documents put the value in brackets
+    base = F.regexp_replace("d.learner.learner_model_param.base_score", r"[\[\]]", "").cast("double")
     model = parsed.select(
         "model_id",
         F.col("model_id").alias("study"),
@@ -194,14 +184,28 @@ def import_tree_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 
 
 def import_tree_lines(spark: SparkSession, path: str) -> DataFrame:
-    """tree_node of documents with one tree per line: an ensemble of any size is
-    split between tasks."""
-    raw = spark.read.option("recursiveFileLookup", "true").text(path).select(_model_id().alias("model_id"), "value")
-    names = raw.filter(F.col("value").startswith('{"learner"')).select(
+    """tree_node of documents of any size, on one line or on many.
+
+    The text is split at closing braces, so an ensemble is dealt out between tasks tree
+    by tree. ``tree_param``, the one object inside a tree, must be its last field, as
+    in documents with sorted fields and those written here; others fail.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true").option("lineSep", "}")
+    raw = reader.text(path).select(_model_id().alias("model_id"), "value")
+    fail = lambda text: F.raise_error(F.concat(F.lit(text), F.col("model_id")))
+    listed = F.regexp_extract("value", _NAMES, 1)
+    names = raw.filter(F.col("value").contains('"feature_names"')).select(
         "model_id",
-        F.from_json(F.regexp_extract("value", r'"feature_names":(\[[^\]]*\])', 1), "ARRAY<STRING>").alias("names"),
+        F.when(listed != "", F.from_json(listed, "ARRAY<STRING>"))
+        .otherwise(fail("feature names not understood in ").cast("array<string>"))
+        .alias("names"),
     )
-    trees = raw.filter(F.col("value").startswith('{"id"')).select(
-        "model_id", F.from_json(F.regexp_replace("value", ",$", ""), TREE_SCHEMA).alias("tree")
+    text = F.concat(F.regexp_extract("value", r"(\{[^{]*\{[^{]*)$", 1), F.lit("}}"))
+    tree = F.from_json(text, TREE_SCHEMA)
+    trees = raw.filter(F.col("value").contains('"left_children"')).select(
+        "model_id",
+        F.when(tree["left_children"].isNotNull() & tree["tree_param"].isNotNull(), tree)
+        .otherwise(fail("tree not understood in ").cast(StructType.fromDDL(TREE_SCHEMA)))
+        .alias("tree"),
     )
-    return _nodes(attach(trees, names, ["model_id"]))
+    return _nodes(attach(trees, names, ["model_id"], "left"))

@@ -110,7 +110,95 @@ def test_foreign_document_with_breadth_first_nodes(spark, tmp_path):
     model, nodes = mo.import_tree_model(spark, str(tmp_path))
     assert model.first().model_id == "XGB_train_set_one"
     got = {r.node_id: (r.feature, r.threshold, r.leaf_value) for r in nodes.collect()}
-    assert got == {0: ("g", 0.5, None), 1: (None, None, -1.0), 2: ("f", 0.25, None), 5: (None, None, 2.0), 6: (None, None, 3.0)}
+    assert got == {0: ("g", 0.5, None), 1: (None, None, -1.0), 2: ("f", 0.25, None), 3: (None, None, 2.0), 4: (None, None, 3.0)}
+
+
+def document(trees, base="5E-1", names=("f", "g")):
+    booster = {"gbtree_model_param": {"num_parallel_tree": "1", "num_trees": str(len(trees))}, "tree_info": [0] * len(trees),
+               "trees": trees}
+    return {"learner": {"feature_names": list(names), "gradient_booster": {"model": booster, "name": "gbtree"},
+                        "learner_model_param": {"base_score": base, "num_feature": str(len(names))}}}
+
+
+def chain(depth, tree=0):
+    """A tree whose right children split again, ``depth`` levels deep; fields sorted."""
+    left, right, parents, cuts = [-1] * (2 * depth + 1), [-1] * (2 * depth + 1), [2147483647] + [0] * (2 * depth), []
+    for i in range(depth):
+        at = 2 * i
+        left[at], right[at] = at + 1, at + 2
+        parents[at + 1] = parents[at + 2] = at
+    cuts = [float(i // 2) if left[i] >= 0 else float(i) for i in range(2 * depth + 1)]
+    size = 2 * depth + 1
+    return {"default_left": [0] * size, "id": tree, "left_children": left, "loss_changes": [0.0] * size, "parents": parents,
+            "right_children": right, "split_conditions": cuts, "split_indices": [0] * size, "sum_hessian": [1.0] * size,
+            "tree_param": {"num_deleted": "0", "num_feature": "2", "num_nodes": str(size)}}
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_deep_trees_in_documents_of_any_layout(spark, tmp_path, indent):
+    names = ("a]b", 'c"d{')
+    (tmp_path / "deep.json").write_text(json.dumps(document([chain(40), chain(2, 1)], "[5E-1]", names), indent=indent))
+    model, nodes = mo.import_tree_model(spark, str(tmp_path))
+    assert model.first().base_margin == 0.0
+    lines = mo.import_tree_lines(spark, str(tmp_path))
+    assert sorted(map(str, lines.collect())) == sorted(map(str, nodes.collect()))
+    assert nodes.count() == 81 + 5 and nodes.filter("feature = 'a]b'").count() == 42
+    rows = [("v", "low", "a]b", -1.0), ("v", "mid", "a]b", 20.5), ("v", "high", "a]b", 99.0), ("v", "none", "other", 1.0)]
+    scores = spark.createDataFrame(rows, "study string, sample_id string, signature string, score double")
+    got = fo.predict_trees(fo.sample_vectors(scores, nodes), nodes, model).collect()
+    # a value goes left at the first cut above it; an absent one follows the default, right
+    assert {r.sample_id: r.margin for r in got} == {"low": 1.0 + 1.0, "mid": 43.0 + 4.0, "high": 80.0 + 4.0, "none": 80.0 + 4.0}
+    params = spark.createDataFrame([("deep", 0.1, 0.5, 0.5)], "model_id string, eta double, colsample double, subsample double")
+    assert fo.model_summary(model, nodes, params).first().max_depth == 40
+
+
+def test_documents_without_names_and_with_deleted_nodes(spark, tmp_path):
+    tree = chain(1)
+    for field, value in (("left_children", -1), ("right_children", -1), ("parents", 2147483647), ("default_left", 0),
+                         ("loss_changes", 0.0), ("split_conditions", 7.0), ("split_indices", 0), ("sum_hessian", 0.0)):
+        tree[field] = tree[field] + [value]
+    (tmp_path / "one.json").write_text(json.dumps(document([tree], names=())))
+    for nodes in (mo.import_tree_model(spark, str(tmp_path))[1], mo.import_tree_lines(spark, str(tmp_path))):
+        assert [(r.node_id, r.feature) for r in nodes.orderBy("node_id").collect()] == [(0, "f0"), (1, None), (2, None)]
+
+
+def test_documents_that_are_no_tree_models_fail(spark, tmp_path):
+    (tmp_path / "bad.json").write_text('{"learner": {}}')
+    with pytest.raises(Exception, match="no tree model in document"):
+        mo.import_tree_model(spark, str(tmp_path))[0].collect()
+    first = chain(1)
+    odd = {"tree_param": first.pop("tree_param"), **first}
+    (tmp_path / "bad.json").write_text(json.dumps(document([odd])))
+    with pytest.raises(Exception, match="not understood"):
+        mo.import_tree_lines(spark, str(tmp_path)).collect()
+
+
+def test_documents_merge_and_predict(spark, toys, tmp_path):
+    mo.export_tree_model(*toys, str(tmp_path / "local"))
+    local, nodes = mo.import_tree_model(spark, str(tmp_path / "local"))
+    mo.export_tree_model(fo.global_header(local), fo.merge_trees(local, nodes), str(tmp_path / "global"))
+    head, merged = mo.import_tree_model(spark, str(tmp_path / "global"))
+    got = fo.predict_trees(fo.sample_vectors(samples(spark), merged), merged, head).collect()
+    assert {r.sample_id: r.margin for r in got} == pytest.approx({"p1": 10.75, "p2": 0.55})
+
+
+@pytest.mark.parametrize("max_chunks", [64, 0])
+def test_every_sample_and_model_is_predicted(spark, toys, max_chunks):
+    model, tree_node = toys
+    leaf = spark.createDataFrame([("leaf", 0, 0, None, None, None, None, True, 0.3, None, 2.0)], NODE)
+    heads = [("leaf", "leaf", 0, 0.5, 1), ("bare", "bare", 0, -2.0, 0)]
+    more = spark.createDataFrame(heads, model.schema)
+    rows = [("v", "p3", "other", 1.0), ("v", "p4", "x", None)]
+    scores = samples(spark).unionByName(spark.createDataFrame(rows, samples(spark).schema))
+    every, nodes = model.unionByName(more), tree_node.unionByName(leaf)
+    got = fo.predict_trees(fo.sample_vectors(scores, nodes), nodes, every, max_chunks=max_chunks).collect()
+    margins = {(r.sample_id, r.model_id): r.margin for r in got}
+    assert len(got) == 4 * 5
+    assert all(margins[p, "leaf"] == 0.8 and margins[p, "bare"] == -2.0 for p in ("p1", "p2", "p3", "p4"))
+    for p in ("p3", "p4"):  # nothing known: every split goes left
+        assert [margins[p, m] for m in "abc"] == pytest.approx([-1.25, 0.2, 0.8])
+    alone = fo.predict_trees(fo.sample_vectors(scores, leaf), leaf, more, max_chunks=max_chunks).collect()
+    assert sorted((r.sample_id, r.margin) for r in alone) == sorted((p, m) for p in ("p1", "p2", "p3", "p4") for m in (0.8, -2.0))
 
 
 def test_shared_tables_refuse_patient_keys(spark):
