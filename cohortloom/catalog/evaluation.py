@@ -18,7 +18,7 @@ from . import sql as q
 from .features import vec_scores
 from .scoring import r6
 
-REPLICATES = 20
+REPLICATES = bs.REPLICATES
 
 
 def docs(spark, sf):

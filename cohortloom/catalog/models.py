@@ -449,7 +449,7 @@ _PLACES = [
 _TREE_SQL = """SELECT t.model_id, t.tree_id, t.place AS node_id, t.feature, t.threshold, l.place AS "left", r.place AS "right",
  t.leaf_value, t.gain, t.cover FROM placed t
  LEFT JOIN placed l ON l.model_id = t.model_id AND l.tree_id = t.tree_id AND l.node_id = t."left"
- LEFT JOIN placed r ON r.model_id = t.model_id AND r.tree_id = t.tree_id AND r.node_id = t."right""""
+ LEFT JOIN placed r ON r.model_id = t.model_id AND r.tree_id = t.tree_id AND r.node_id = t."right" """
 _GLOBAL_SQL = f"""SELECT study, sample_id, 'global' AS model_id, round(sum(margin), 6) AS margin, round({q.sigmoid('sum(margin)')}, 6) AS score
  FROM stump_margin GROUP BY study, sample_id"""
 

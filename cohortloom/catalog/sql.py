@@ -353,7 +353,7 @@ cte(
 cte(
     "vexpr",
     "vec",
-    """SELECT study, sample_id, label, 'd' || lpad(CAST(i - 1 AS VARCHAR), 2, '0') AS gene_id, CAST(v[i] AS DOUBLE) AS value
+    """SELECT study, sample_id, label, 'd' || CASE WHEN i <= 10 THEN '0' ELSE '' END || CAST(i - 1 AS VARCHAR) AS gene_id, CAST(v[i] AS DOUBLE) AS value
     FROM vec, unnest(range(1, 65)) AS t(i)""",
 )
 cte(
@@ -365,7 +365,7 @@ cte(
 cte(
     "stump",
     "vgene",
-    """SELECT a.study AS model_id, a.t AS tree_id, u.* FROM vgene a JOIN vgene b ON a.study = b.study AND b.t = (a.t + 1) % 64,
+    """SELECT a.study AS model_id, a.t AS tree_id, u.* FROM vgene a JOIN vgene b ON a.study = b.study AND b.t = (a.t + 1) % (SELECT count(DISTINCT t) FROM vgene),
     LATERAL (VALUES
      (0, a.gene_id, a.cut, 1, 2, NULL::DOUBLE, a.sd, a.n),
      (1, NULL, NULL, NULL, NULL, round(a.rate * 0.1::DOUBLE - a.sd * 0.05::DOUBLE, 6), NULL, a.n * 0.5::DOUBLE),

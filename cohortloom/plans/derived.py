@@ -7,16 +7,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import literal_rows, round9
 from ..operators.scale import attach
 
-GENES = [f"Brand#{k}" for k in range(1, 26)]
-
-
 _schemas: dict[str, StructType] = {}
 
 
@@ -121,10 +118,11 @@ def basket_tpm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """study, sample_id, gene_id, value: bought quantity, 0 where nothing was bought.
 
     A customer's sums are gathered in one map (at most one entry per brand) and
-    read off along the brand list, so zero cells need no product of tables. The
-    part table is broadcast only if it is small; a hot order is split by AQE,
-    a hot customer shrinks in the partial sums.
+    read off along the list of all brands in ``part``, so zero cells need no product
+    of tables. The part table is broadcast only if it is small; a hot order is split
+    by AQE, a hot customer shrinks in the partial sums.
     """
+    brands = table(spark, sf_dir, "part").agg(F.sort_array(F.collect_set("p_brand")).alias("brands"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey"), "l_quantity")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     bought = (
@@ -138,11 +136,12 @@ def basket_tpm(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = _customers(spark, sf_dir).select("c_custkey", "r_name")
     return (
         samples.join(bought, F.col("c_custkey") == F.col("o_custkey"), "left")
+        .withColumn("brands", brands.scalar())
         .select(
             F.col("r_name").alias("study"),
             F.col("c_custkey").cast("string").alias("sample_id"),
             "qty",
-            F.explode(F.array(*[F.lit(g) for g in GENES])).alias("gene_id"),
+            F.explode("brands").alias("gene_id"),
         )
         .select("study", "sample_id", "gene_id", F.coalesce(F.col("qty")[F.col("gene_id")], F.lit(0.0)).alias("value"))
     )
@@ -235,14 +234,15 @@ def vec_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vec_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """study, sample_id, label, gene_id, value."""
+    """study, sample_id, label, gene_id, value. Positions have two digits at least."""
+    place = F.col("_pos").cast("string")
     return vec_samples(spark, sf_dir).select(
         "study", "sample_id", "label", F.posexplode("values").alias("_pos", "value")
     ).select(
         "study",
         "sample_id",
         "label",
-        F.concat(F.lit("d"), F.lpad(F.col("_pos").cast("string"), 2, "0")).alias("gene_id"),
+        F.concat(F.lit("d"), F.lpad(place, F.greatest(F.lit(2), F.length(place)), "0")).alias("gene_id"),
         "value",
     )
 
@@ -290,11 +290,12 @@ def stump_models(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
             F.round(F.stddev_samp("value"), 6).alias("sd"),
             F.round(F.avg(F.col("label").cast("double")) - F.lit(0.5), 6).alias("rate"),
         )
-        .withColumn("tree_id", F.substring("gene_id", 2, 2).cast("int"))
+        .withColumn("tree_id", F.expr("substring(gene_id, 2)").cast("int"))
+        .withColumn("genes", F.count(F.lit(1)).over(Window.partitionBy("study")).cast("int"))
     )
     follower = gene.select(
         "study",
-        F.pmod(F.col("tree_id") - 1, F.lit(64)).alias("tree_id"),
+        F.pmod(F.col("tree_id") - 1, F.col("genes")).alias("tree_id"),
         F.col("gene_id").alias("next_gene"),
         F.col("cut").alias("next_cut"),
         F.col("sd").alias("next_sd"),
