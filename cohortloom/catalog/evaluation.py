@@ -258,6 +258,9 @@ def logit_ctes(counts: str, iterations: int = lo.ITERATIONS) -> list[tuple[str,
 
 _LOGIT = logit_ctes("counts")
 _B = f"b_{lo.ITERATIONS}"
+_FIT_SQL = f"""SELECT study, model_id, round(n.b0, 6) AS b0, round(n.b1, 6) AS b1,
+ abs(n.b0 - o.b0) <= 1e-8 * (abs(n.b0) + 0.1) AND abs(n.b1 - o.b1) <= 1e-8 * (abs(n.b1) + 0.1) AS converged
+ FROM {_B} n JOIN b_{lo.ITERATIONS - 1} o USING (study, model_id)"""
 _TWO = "regexp_replace(CAST(round({}, 2) AS VARCHAR), '\\.0$', '')"
 
 _BOOT = [
@@ -322,7 +325,7 @@ QUERIES = {
             FROM doc JOIN youden USING (study, model_id) GROUP BY ALL)""",
         ),
     ),
-    "fit_logit": (_fit, q.query("counts", f"SELECT study, model_id, round(b0, 6) AS b0, round(b1, 6) AS b1 FROM {_B}", _LOGIT)),
+    "fit_logit": (_fit, q.query("counts", _FIT_SQL, _LOGIT)),
     "predict_logit": (
         _predict_logit,
         q.query(

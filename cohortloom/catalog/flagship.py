@@ -6,30 +6,26 @@ from __future__ import annotations
 from ..operators import clinical as cl
 from ..operators import features as ft
 from ..operators import roc
-from ..operators import scoring as sc
 from ..plans import derived as d
 from . import sql as q
-from .clinical import logged
+from .clinical import light_scores
 from .scoring import r6
 
 
 def signature_auc(spark, sf):
-    """Gates, log, gene filter, weighted mean, join with labels, rank-sum area."""
+    """Gates, log, gene filter, scores, join with labels, rank-sum area."""
     valid = cl.drop_missing_response(d.basket_clinical(spark, sf))
-    signature = d.basket_signatures(spark, sf).filter("signature = 'S3'")
-    expr = sc.keep(sc.gene_missing_filter(sc.keep(logged(spark, sf))))
-    scores = sc.weighted_mean(expr, signature)
-    labelled = ft.join_response(scores, valid).withColumn("label", cl.encode_response())
+    labelled = ft.join_response(light_scores(spark, sf), valid).withColumn("label", cl.encode_response())
     ranked = roc.ranked_counts(labelled.withColumnRenamed("signature", "model_id"))
     return r6(roc.auc(ranked).withColumnRenamed("model_id", "signature"), "auc")
 
 
 q.cte(
     "signature_counts",
-    "mean_score valid",
+    "light valid",
     q.counts_text(
         """(SELECT study, signature AS model_id, CASE response WHEN 'R' THEN 0 ELSE 1 END AS label, score
-        FROM mean_score JOIN valid USING (study, sample_id))"""
+        FROM light JOIN valid USING (study, sample_id))"""
     ),
 )
 QUERIES = {
