@@ -7,67 +7,18 @@ crosses documents and none is padded; sequences of one length form a bucket, fro
 
 from __future__ import annotations
 
-import functools
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_size, text_of
-from .vocabulary import Memo, load
+from .encode import encoder
 
 TOKENIZER = "byte_bpe_50k.json"
 MAX_LENGTH = 2048
 END_ID = 1
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint"
-#: A comma or full stop that is not right behind a letter or digit: such marks may share a token with what is before.
-JOINED = re.compile(r"(?:[^\w]|_|\A)[,.]")
-#: Bytes of a text by kind: comma or full stop, other ASCII marks, the rest of ASCII, parts of other characters.
-KINDS = bytes(
-    ord("p" if chr(b) in ",." else "u" if b > 127 else "a" if chr(b).isalnum() else "o") for b in range(256)
-)
-
-
-def joined_marks(text: str) -> bool:
-    """Whether JOINED matches; the regular expression runs only where bytes alone do not tell."""
-    kinds = text.encode().translate(KINDS)
-    if b"op" in kinds or b"pp" in kinds or kinds[:1] == b"p":
-        return True
-    return b"up" in kinds and JOINED.search(text) is not None
-
-
-def units(text: str) -> list[str]:
-    """A text cut where no token of the byte-level vocabulary crosses: before a single space between two other
-    characters, around a single line feed between two other characters, and, if all commas and full stops follow a
-    letter or digit, before those. Joined, the units give the text."""
-    if not text:
-        return []
-    if "\0" in text or text.count(" ") + text.count("\n") + 1 != len(text.split()):
-        return [text]  # white space at an end, next to white space, or of another kind
-    cut = text.replace(" ", "\0 ").replace("\n", "\0\n\0")
-    if not joined_marks(text):
-        cut = cut.replace(",", "\0,").replace(".", "\0.")
-    return cut.split("\0")
-
-
-@functools.cache
-def _memo(tokenizer: str) -> Memo:
-    return Memo(lambda new: [e.ids for e in load(tokenizer).encode_batch_fast(new, add_special_tokens=False)])
-
-
-def encoded(tokenizer: str, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of the texts, each followed by ``end_id``, and the number of ids of each."""
-    memo, cut, per = _memo(tokenizer), [], []
-    for text in texts:
-        own = units(text)
-        cut += own
-        per.append(len(own))
-    places = memo.places(cut)
-    own = memo.ids(places)
-    ends = np.concatenate([[0], np.cumsum(memo.lengths[places])])[np.cumsum(per)] if texts else np.zeros(0, np.int64)
-    return np.insert(own, ends, np.uint32(end_id)), np.diff(ends, prepend=0) + 1
 
 
 def binary_lengths(n: int, longest: int) -> list[int]:
@@ -94,7 +45,7 @@ def pieces(
 
     def work(batches):
         for batch, texts in by_size(batches, "text", 500_000):
-            ids, counts = encoded(tokenizer, texts, end_id)
+            ids, counts = encoder(tokenizer).encode(texts, end_id)
             cut = [binary_lengths(int(n), max_length) for n in counts]
             per = np.array([len(c) for c in cut])
             lengths = np.array([x for c in cut for x in c], np.int64)
