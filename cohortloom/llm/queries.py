@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, mixing, packing, pii, quality, sharding, simhash, suffix_dedup, token_counts, winnowing
+from ..session import scratch_path
+from . import (
+    html_extract, mixing, packing, pii, quality, sharding, simhash, suffix_dedup, token_counts, token_planes, winnowing,
+)
 from .common import table
 
 
@@ -59,6 +62,12 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(table(spark, sf_dir, "pages"))
 
 
+def op11_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-planes")
+    token_planes.write(table(spark, sf_dir, "documents"), path)
+    return token_planes.read_documents(spark, path)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_pii": op2_pii,
@@ -70,5 +79,6 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
     "op10_html_extract": op10_html_extract,
+    "op11_token_planes": op11_token_planes,
 }
 ORACLE_SQL = {"op3_mixing": mixing.SHARES_SQL, "op9_sharding": sharding.SHARDS_SQL}
