@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from . import (
-    html_extract, mixing, packing, pii, quality, sharding, simhash, suffix_dedup, token_counts, token_planes, winnowing,
+    html_extract, mixing, negatives, packing, pii, quality, sharding, simhash, suffix_dedup, token_counts, token_planes, winnowing,
 )
 from .common import table
 
@@ -68,6 +68,19 @@ def op11_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.read_documents(spark, path)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("bigint")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = vectors.filter(finite).select(
+        F.col("vec_id").alias("id"),
+        F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"),
+        F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("vector"),
+        (F.col("vec_id") % 50 == 0).alias("anchor"),
+    )
+    return negatives.hard_negatives(rows)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_pii": op2_pii,
@@ -80,5 +93,10 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_html_extract": op10_html_extract,
     "op11_token_planes": op11_token_planes,
+    "op12_hard_negatives": op12_hard_negatives,
+}
+ORACLE_SQL = {
+    "op3_mixing": mixing.SHARES_SQL,
+    "op9_sharding": sharding.SHARDS_SQL,
+    "op12_hard_negatives": negatives.NEGATIVES_SQL,
 }
-ORACLE_SQL = {"op3_mixing": mixing.SHARES_SQL, "op9_sharding": sharding.SHARDS_SQL}
