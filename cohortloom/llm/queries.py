@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from . import (
-    html_extract, mixing, negatives, packing, pii, quality, sharding, simhash, suffix_dedup, token_counts, token_planes, winnowing,
+    html_extract, mixing, negatives, packing, pii, prefix_trie, quality, sharding, simhash, suffix_dedup, token_counts, token_planes, winnowing,
 )
 from .common import table
 
@@ -81,6 +81,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(rows)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_pii": op2_pii,
@@ -94,9 +98,11 @@ QUERIES = {
     "op10_html_extract": op10_html_extract,
     "op11_token_planes": op11_token_planes,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE_SQL = {
     "op3_mixing": mixing.SHARES_SQL,
     "op9_sharding": sharding.SHARDS_SQL,
     "op12_hard_negatives": negatives.NEGATIVES_SQL,
+    "op13_prefix_trie": prefix_trie.TRIE_SQL,
 }
