@@ -4,22 +4,30 @@ Validated card numbers, phone numbers, social security numbers, IP addresses, IB
 e-mail addresses are replaced by keyed permutations within their format. A permutation is a Feistel network over two
 coordinates: in turn each is shifted by a keyed hash of the other. Equal values get equal pseudonyms in every
 document, different values different ones, and the holder of the key can undo it. All of it is column expressions.
+
+Patterns hold runs of bounded length only, tried once per run: mail addresses are found up to the lengths that RFC 5321
+allows (64 characters before the @, labels of 63), so no text takes more than time in proportion to its length.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import text_of
 
-KEY = "corpus-pseudonyms-1"
+#: Names the key of a session.
+KEY_CONF = "spark.cohortloom.pii.key"
 ROUNDS = 10
 
 # What the formats look like.
-EMAIL = r"[A-Za-z0-9._%+-]*[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL = (
+    r"(?<![A-Za-z0-9._%+-])[._%+-]{0,63}+[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@"
+    r"(?:[A-Za-z0-9-]{1,63}+\.){1,32}[A-Za-z]{2,63}"
+)
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
 PHONE = (
     r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{4}(?![0-9A-Za-z])"
@@ -37,7 +45,7 @@ ANY = "|".join((EMAIL, IBAN, DATE, IP, SSN, CARD, PHONE))
 HINT = r"@|(?:[0-9][ ()./+-]{0,2}){4}"
 #: Days from 1900-01-01 to 2099-12-31, as a product.
 DAYS = (17, 4297)
-ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyz"
+ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
 def keyed(key: str, kind: str, step: Column, value: Column) -> Column:
@@ -182,13 +190,13 @@ def date(text: Column, key: str, undo: bool) -> Column:
 
 
 def email(text: Column, key: str, undo: bool) -> Column:
-    """Letters and digits before the @ are permuted as one string, lower-cased; the domain stays."""
+    """Letters (capital or small) and digits before the @ are permuted as one string; the domain stays."""
     symbol = lambda c: F.locate(c, F.lit(ALPHABET)) - 1 if isinstance(c, str) else F.instr(F.lit(ALPHABET), c) - 1
 
     def shifted(own: Column, other: Column, i: Column) -> Column:
         def one(c: Column, j: Column) -> Column:
-            shift = keyed(key, "email", F.concat_ws(".", i, j), other) % 36
-            return F.substring(F.lit(ALPHABET), (F.pmod(symbol(c) + (-shift if undo else shift), F.lit(36)) + 1).cast("int"), F.lit(1))
+            shift = keyed(key, "email", F.concat_ws(".", i, j), other) % len(ALPHABET)
+            return F.substring(F.lit(ALPHABET), (F.pmod(symbol(c) + (-shift if undo else shift), F.lit(len(ALPHABET))) + 1).cast("int"), F.lit(1))
 
         return F.array_join(F.transform(F.filter(F.split(own, ""), lambda c: c != ""), one), "")
 
@@ -201,16 +209,16 @@ def email(text: Column, key: str, undo: bool) -> Column:
     steps = F.array(*[F.lit(i) for i in (range(ROUNDS - 1, -1, -1) if undo else range(ROUNDS))])
 
     def changed(local: Column) -> Column:
-        core = F.regexp_replace(local, "[^a-z0-9]", "")
+        core = F.regexp_replace(local, "[^A-Za-z0-9]", "")
         half = F.ceil(F.length(core) / 2).cast("int")
         start = F.struct(F.substring(core, F.lit(1), half).alias("a"), F.substring(core, half + 1, F.length(core)).alias("b"))
-        return let(F.aggregate(steps, start, turn), lambda p: refilled(local, "a-z0-9", F.concat(p["a"], p["b"])))
+        return let(F.aggregate(steps, start, turn), lambda p: refilled(local, "A-Za-z0-9", F.concat(p["a"], p["b"])))
 
-    local = F.lower(F.substring_index(text, "@", 1))
+    local = F.substring_index(text, "@", 1)
     return F.concat(let(local, changed), F.lit("@"), F.substring_index(text, "@", -1))
 
 
-def pseudonym(text: Column, key: str = KEY, undo: bool = False) -> Column:
+def pseudonym(text: Column, key: str, undo: bool = False) -> Column:
     """The pseudonym of one match of ANY; a match that fails its validation stays as it is."""
     whole = lambda pattern: text.rlike(f"^(?:{pattern})$")
     kinds = ((EMAIL, email), (IBAN, iban), (DATE, date), (IP, ip), (SSN, ssn), (CARD, card), (PHONE, phone))
@@ -221,7 +229,7 @@ def pseudonym(text: Column, key: str = KEY, undo: bool = False) -> Column:
     return chain.otherwise(text)
 
 
-def replaced(text: Column, key: str = KEY, undo: bool = False) -> Column:
+def replaced(text: Column, key: str, undo: bool = False) -> Column:
     """A struct of the ``text`` with all pseudonyms and the number of values replaced, ``n``."""
     found = F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))
     between = F.split(text, f"(?:{ANY})", -1)
@@ -238,13 +246,29 @@ def replaced(text: Column, key: str = KEY, undo: bool = False) -> Column:
     return F.when(text.rlike(HINT), let(changed, joined)).otherwise(same)
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key that ``spark.cohortloom.pii.key`` names; without one the session gets a random key of its own, whose
+    pseudonyms nobody can undo afterwards and which link within the session only."""
+    key = spark.conf.get(KEY_CONF, None)
+    if not key:
+        key = secrets.token_hex(16)
+        spark.conf.set(KEY_CONF, key)
+    return key
+
+
+def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with every personal value in ``text`` replaced; other columns and the column order stay, null texts
-    stay null. ``n_chars``, if there is one, is passed on as it is."""
-    return docs.withColumn("text", F.when(F.col("text").isNotNull(), replaced(F.col("text").cast("string"), key)["text"]))
+    stay null. ``n_chars``, if there is one, is counted anew where a value was replaced."""
+    done = docs.withColumn("_r", F.when(F.col("text").isNotNull(), replaced(F.col("text").cast("string"), key)))
+    length = F.when(F.col("_r.n") > 0, F.length("_r.text")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    return done.select(*[
+        F.col("_r.text").alias("text") if c == "text"
+        else length.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`")
+        for c in docs.columns
+    ])
 
 
-def report(docs: DataFrame, key: str = KEY) -> DataFrame:
+def report(docs: DataFrame, key: str) -> DataFrame:
     """Per document (``doc_id``, ``text``) its ``text`` with pseudonyms and ``n_replaced``.
 
     A null text counts as empty. Values are replaced row by row, so null and repeated doc_ids and repeated rows

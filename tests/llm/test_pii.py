@@ -1,10 +1,13 @@
 import hashlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.llm import pii
 
+KEY = "a key for tests"
+
 TEXTS = {
     0: "card 4491382641088554 and 4491 3826 4108 8554, bad 4491382641088555",
     1: "+1 (702) 555-0742 or 702-555-0742 or +491701234567",
@@ -39,18 +42,18 @@ def digits(text, key, kind):
 
 @pytest.fixture(scope="module")
 def done(frame):
-    return {r.doc_id: r for r in pii.report(frame(list(TEXTS.items()))).collect()}
+    return {r.doc_id: r for r in pii.report(frame(list(TEXTS.items())), KEY).collect()}
 
 
 def test_card_against_a_plain_network(done):
-    head = "4" + digits("49138264108855", pii.KEY, "card")
+    head = "4" + digits("49138264108855", KEY, "card")
     card = next(head + str(c) for c in range(10) if luhn(head + str(c)))
     spaced = " ".join(card[i : i + 4] for i in range(0, 16, 4))
     assert done[0].text == f"card {card} and {spaced}, bad 4491382641088555" and done[0].n_replaced == 2
 
 
 def test_address_against_a_plain_network(done):
-    a, b = shuffled(173 * 256 + 33, 203 * 256 + 46, (65536, 65536), pii.KEY, "ip")
+    a, b = shuffled(173 * 256 + 33, 203 * 256 + 46, (65536, 65536), KEY, "ip")
     assert done[2].text == f"{a >> 8}.{a & 255}.{b >> 8}.{b & 255} and 300.1.1.1 version 2.0."
 
 
@@ -71,10 +74,10 @@ def test_other_texts_are_left_alone(done):
 
 def test_equal_values_link_and_the_key_undoes(frame, spark):
     docs = frame(list(TEXTS.items()) + [(None, "4491382641088554"), (0, "x 4491382641088554.")] )
-    found = pii.report(docs)
+    found = pii.report(docs, KEY)
     text = {str(r.doc_id) + r.text[:1]: r.text for r in found.filter("doc_id IS NULL OR text LIKE 'x%'").collect()}
     assert len({t.strip("x .") for t in text.values()}) == 1
-    back = found.filter("doc_id < 6").select("doc_id", pii.replaced(F.col("text"), undo=True)["text"].alias("text")).collect()
+    back = found.filter("doc_id < 6").select("doc_id", pii.replaced(F.col("text"), KEY, undo=True)["text"].alias("text")).collect()
     assert all(r.text == TEXTS[r.doc_id] for r in back if not r.text.startswith("x"))
     other = pii.report(docs, "another key").filter("doc_id = 1").first()
     assert other.text != found.filter("doc_id = 1").first().text
@@ -82,14 +85,50 @@ def test_equal_values_link_and_the_key_undoes(frame, spark):
 
 def test_different_values_stay_different(spark):
     days = spark.range(20_000).select(F.date_format(F.date_add(F.lit("1950-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("t"))
-    moved = days.select(pii.replaced(F.col("t"))["text"].alias("t"))
+    moved = days.select(pii.replaced(F.col("t"), KEY)["text"].alias("t"))
     assert moved.distinct().count() == 20_000 and moved.filter("t < '1900-01-01' OR t > '2099-12-31'").isEmpty()
 
 
 def test_columns_and_empty(frame):
     docs = frame([(1, None), (2, "call 702-555-0742 now")])
-    out = pii.pseudonymised(docs)
+    out = pii.pseudonymised(docs, KEY)
     assert out.columns == docs.columns and [r.text for r in out.orderBy("doc_id").collect()][0] is None
-    assert pii.report(frame([])).collect() == [] and pii.pseudonymised(frame([])).collect() == []
+    assert pii.report(frame([]), KEY).collect() == [] and pii.pseudonymised(frame([]), KEY).collect() == []
     long = "word " * 100_000 + "4491382641088554"
-    assert pii.report(frame([(1, long)])).first().n_replaced == 1
+    assert pii.report(frame([(1, long)]), KEY).first().n_replaced == 1
+
+
+def test_addresses_keep_their_case_apart(frame):
+    rows = pii.report(frame([(0, "John.Doe@x.org"), (1, "john.doe@x.org"), (2, "JOHN.DOE@x.org"), (3, "John.Doe@x.org!")]), KEY)
+    text = {r.doc_id: r.text for r in rows.collect()}
+    assert len({text[0], text[1], text[2]}) == 3 and text[3] == text[0] + "!"
+    back = rows.select(pii.replaced(F.col("text"), KEY, undo=True)["text"].alias("t"), "doc_id").collect()
+    assert {r.doc_id: r.t for r in back} == {0: "John.Doe@x.org", 1: "john.doe@x.org", 2: "JOHN.DOE@x.org", 3: "John.Doe@x.org!"}
+
+
+def test_addresses_of_many_labels_and_long_runs(frame):
+    many = "me@" + "a." * 30 + "org"
+    found = pii.report(frame([(0, many), (1, "x" * 64 + "@b.org"), (2, "x" * 65 + "@b.org"), (3, "--me@b.org")]), KEY)
+    assert [r.n_replaced for r in found.orderBy("doc_id").collect()] == [1, 1, 0, 1]
+
+
+@pytest.mark.parametrize("run", ["a", "a.", "1 ", "A1", "x@a.", "x@", "12 ", "1.", "-", "AB12 ", "a@b.c ", "+1 "])
+def test_long_runs_take_time_in_proportion(frame, run):
+    docs = frame([(0, "x@y " + run * (1_000_000 // len(run))), (1, "x@" + run * (10_000 // len(run)))])
+    start = time.perf_counter()
+    assert len(pii.report(docs, KEY).collect()) == 2
+    assert time.perf_counter() - start < 30
+
+
+def test_odd_texts_stay(frame, odd):
+    rows = pii.report(frame(list(enumerate(odd))), KEY).collect()
+    assert {r.doc_id: r.text for r in rows} == {i: t or "" for i, t in enumerate(odd)}
+
+
+def test_lengths_follow(frame):
+    row = pii.pseudonymised(frame([(0, "173.33.203.46"), (1, "none"), (2, None)]), KEY).orderBy("doc_id").collect()
+    assert [r.n_chars for r in row] == [len(row[0].text), 4, 0]
+
+
+def test_a_session_keeps_its_key(spark):
+    assert pii.session_key(spark) == pii.session_key(spark) and len(pii.session_key(spark)) == 32
