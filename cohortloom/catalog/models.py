@@ -17,15 +17,10 @@ from .clinical import gated
 from .evaluation import YOUDEN_TEXT, margins_and_scores, stump_predictions
 from .scoring import r6
 
-SMALL_GRID = {
-    "nrounds": [1, 2],
-    "eta": [0.1, 0.3],
-    "max_depth": [1, 2],
-    "gamma": [0.0, 0.1],
-    "colsample": [0.8],
-    "subsample": [0.8],
-}
-ROUNDS, DEPTH = 2, 2
+#: The grid of the registered trainings: 360 settings in 45 runs a study, of 4 rounds and depth 3. More rounds take the
+#: same time each.
+TRAINED_GRID = bo.GRID | {"nrounds": [2, 4], "max_depth": [3]}
+ROUNDS, DEPTH = max(TRAINED_GRID["nrounds"]), max(TRAINED_GRID["max_depth"])
 BINS = 10
 NODE = ["study", "config_id", "tree_id", "node_id"]
 
@@ -77,43 +72,40 @@ def _col_sampling(spark, sf):
 
 
 def training_inputs(spark, sf):
-    samples, lists = bo.prepare_samples(vec_features(spark, sf), d.vec_labels(spark, sf), BINS)
+    samples, lists = bo.prepare_samples(d.vec_gappy(spark, sf), d.vec_labels(spark, sf), BINS)
     return samples, keep(lists)
 
 
-def small_grid(spark, sf):
-    return bo.param_grid(studies(spark, sf), SMALL_GRID)
+def trained_grid(spark, sf):
+    return bo.param_grid(studies(spark, sf), TRAINED_GRID)
 
 
-def _first_level(spark, sf):
+def _second_level(spark, sf):
+    """The first tree of every training, down to the sums and splits of its second level."""
     samples, lists = training_inputs(spark, sf)
-    runs = bo.distinct_trainings(small_grid(spark, sf)).filter("config_id = train_id").drop("train_id")
-    table = keep(bo.training_table(runs.withColumn("nrounds", F.lit(ROUNDS)), lists, seeds(spark, sf)))
-    tree = F.lit(0)
-    kept = table.select("study", "config_id", "subsample", "seed", bo.features_kept(tree).alias("kept"))
-    rows = attach(samples, kept, ["study"]).filter(bo.row_kept(tree))
-    rows = bo.grad_hess(rows.withColumn("margin", F.lit(0.0))).withColumn("node", F.lit(0))
-    return bo.split_histogram(rows), table
+    runs = bo.distinct_trainings(trained_grid(spark, sf)).filter("config_id = train_id").drop("train_id")
+    table = bo.training_table(runs.withColumn("nrounds", F.lit(ROUNDS)), lists, seeds(spark, sf))
+    run = bo.Growth(samples, table, DEPTH, 0.0)
+    return run, run.level(0, 1, run.level(0, 0))
 
 
 def _histogram(spark, sf):
-    hist, _ = _first_level(spark, sf)
-    return r6(hist, "g", "h")
+    return r6(_second_level(spark, sf)[1], "g", "h")
 
 
 def _best_split(spark, sf):
-    hist, table = _first_level(spark, sf)
-    return r6(bo.best_split(hist, table), "gain", "cover", "leaf_value")
+    splits = _second_level(spark, sf)[0].written(0).filter("level = 1")
+    return r6(splits.drop("level", "small"), "gain", "cover", "leaf_value")
 
 
 def trained(spark, sf):
     samples, lists = training_inputs(spark, sf)
-    grid = small_grid(spark, sf)
+    grid = trained_grid(spark, sf)
     nodes, margins = bo.train_per_study(samples, lists, grid, seeds(spark, sf))
     return samples, lists, grid, nodes, margins
 
 
-NODE_COLUMNS = [*NODE, "feature", "threshold", "leaf_value", "gain", "cover"]
+NODE_COLUMNS = [*NODE, "feature", "threshold", "default_left", "leaf_value", "gain", "cover"]
 
 
 def _nodes(df):
@@ -135,19 +127,19 @@ def _grid_auc(spark, sf):
 
 
 def best_of(spark, sf):
-    samples, lists, grid, nodes, margins = trained(spark, sf)
-    best = keep(bo.select_best(bo.grid_auc(keep(margins), grid), grid))
-    return samples, lists, best
+    _, _, grid, nodes, margins = trained(spark, sf)
+    margins = keep(margins)
+    return keep(bo.select_best(bo.grid_auc(margins, grid), grid)), grid, nodes, margins
 
 
 def _best(spark, sf):
-    return r6(best_of(spark, sf)[2], "auc")
+    return r6(best_of(spark, sf)[0], "auc")
 
 
 def refitted(spark, sf):
-    samples, lists, best = best_of(spark, sf)
-    nodes, margins = bo.refit_best(samples, lists, best, seeds(spark, sf))
-    return best, nodes, margins
+    """The chosen model of every study, out of the search that grew it."""
+    best, grid, nodes, margins = best_of(spark, sf)
+    return best, *bo.chosen_models(nodes, margins, best, grid)
 
 
 def _refit(spark, sf):
@@ -265,19 +257,30 @@ def _export(spark, sf):
 
 # ---- SQL -----------------------------------------------------------------------------
 
+_SHARES = ", ".join(repr(i / BINS) for i in range(1, BINS))
+
+
+def cuts_text(source: str) -> str:
+    return f"""SELECT study, feature, f, list_transform(quantile_cont(value, [{_SHARES}]), lambda x: round(x, 6)) AS cuts
+    FROM {source} WHERE value IS NOT NULL GROUP BY ALL"""
+
+
+def binned_text(source: str, cuts: str) -> str:
+    return f"""SELECT e.study, e.sample_id, e.feature, e.f,
+    CASE WHEN e.value IS NOT NULL THEN CAST(len(list_filter(c.cuts, lambda x: x <= e.value)) AS INTEGER) END AS bin
+    FROM {source} e JOIN {cuts} c ON c.study = e.study AND c.feature = e.feature"""
+
+
+q.cte("vfeature", "vexpr", "SELECT study, sample_id, gene_id AS feature, CAST(substr(gene_id, 2) AS INTEGER) + 1 AS f, value FROM vexpr")
+q.cte("vcuts", "vfeature", cuts_text("vfeature"))
+q.cte("vbinned", "vfeature vcuts", binned_text("vfeature", "vcuts"))
 q.cte(
-    "cuts",
-    "vexpr",
-    """SELECT study, gene_id AS feature, list_transform(quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]), lambda x: round(x, 6)) AS cuts
-    FROM vexpr GROUP BY ALL""",
-)
-q.cte(
-    "binned",
-    "vexpr cuts",
-    """SELECT e.study, e.sample_id, e.label, e.gene_id AS feature, CAST(substr(e.gene_id, 2) AS INTEGER) + 1 AS f,
-    CAST(len(list_filter(c.cuts, lambda x: x <= e.value)) AS INTEGER) AS bin
-    FROM vexpr e JOIN cuts c ON c.study = e.study AND c.feature = e.gene_id""",
+    "gappy",
+    "vfeature",
+    "SELECT study, sample_id, feature, f, CASE WHEN (CAST(sample_id AS BIGINT) + (f - 1) * 7) % 11 <> 0 THEN value END AS value FROM vfeature",
 )
+q.cte("cuts", "gappy", cuts_text("gappy"), once=True)
+q.cte("binned", "gappy cuts", binned_text("gappy", "cuts"), once=True)
 q.cte(
     "seeds",
     "vec",
@@ -299,7 +302,7 @@ def grid_text(study_source: str, grid: dict) -> str:
     )
 
 
-q.cte("grid", "vec", grid_text("vec", SMALL_GRID))
+q.cte("grid", "vec", grid_text("vec", TRAINED_GRID))
 q.cte(
     "settings",
     "grid",
@@ -319,7 +322,7 @@ q.cte(
 
 
 def level_ctes(t: int, level: int) -> None:
-    """Histogram, splits and next nodes of one tree level."""
+    """Sums, tried cuts, splits and next nodes of one tree level, every node from its own rows."""
     tag, rows = f"{t}_{level}", f"rows_{t}_{level}"
     q.cte(
         f"hist_{tag}",
@@ -328,33 +331,49 @@ def level_ctes(t: int, level: int) -> None:
         FROM {rows} r JOIN kept_{t} k ON k.study = r.study AND k.config_id = r.config_id
         JOIN binned b ON b.study = r.study AND b.sample_id = r.sample_id AND b.f = k.f
         WHERE r.used AND NOT r.done GROUP BY ALL""",
+        once=True,
+    )
+    q.cte(
+        f"cell_{tag}",
+        f"hist_{tag}",
+        f"""SELECT study, config_id, node, f, bin, sum(CASE WHEN bin IS NOT NULL THEN g ELSE 0 END) OVER o AS gl,
+        sum(CASE WHEN bin IS NOT NULL THEN h ELSE 0 END) OVER o AS hl, sum(CASE WHEN bin IS NULL THEN g ELSE 0 END) OVER a AS gm,
+        sum(CASE WHEN bin IS NULL THEN h ELSE 0 END) OVER a AS hm, sum(CASE WHEN bin IS NULL THEN n ELSE 0 END) OVER a AS nm,
+        sum(g) OVER a AS gt, sum(h) OVER a AS ht, sum(n) OVER a AS n
+        FROM hist_{tag} WINDOW a AS (PARTITION BY study, config_id, node, f),
+        o AS (PARTITION BY study, config_id, node, f ORDER BY bin NULLS FIRST ROWS UNBOUNDED PRECEDING)""",
+        once=True,
     )
     q.cte(
         f"cand_{tag}",
-        f"hist_{tag} runs",
-        f"""SELECT *, round(0.5::DOUBLE * (gl * gl / (hl + 1.0::DOUBLE) + (gt - gl) * (gt - gl) / (ht - hl + 1.0::DOUBLE) - gt * gt / (ht + 1.0::DOUBLE)), 9) AS gain
-        FROM (SELECT study, config_id, node, f, bin, sum(g) OVER o AS gl, sum(h) OVER o AS hl, sum(g) OVER a AS gt, sum(h) OVER a AS ht, sum(n) OVER a AS n
-         FROM hist_{tag} WINDOW a AS (PARTITION BY study, config_id, node, f), o AS (PARTITION BY study, config_id, node, f ORDER BY bin ROWS UNBOUNDED PRECEDING))
-        JOIN runs USING (study, config_id)""",
+        f"cell_{tag} runs",
+        f"""SELECT *, floor(gain * 1e9::DOUBLE + 0.5::DOUBLE) AS units FROM (SELECT *,
+         0.5::DOUBLE * (gl * gl / (hl + 1.0::DOUBLE) + (gt - gl) * (gt - gl) / (ht - hl + 1.0::DOUBLE) - gt * gt / (ht + 1.0::DOUBLE)) AS gain
+        FROM (SELECT study, config_id, node, f, bin, TRUE AS dl, gl + gm AS gl, hl + hm AS hl, gt, ht FROM cell_{tag} WHERE bin IS NOT NULL
+         UNION ALL SELECT study, config_id, node, f, bin, FALSE, gl, hl, gt, ht FROM cell_{tag} WHERE bin IS NOT NULL AND nm > 0)
+        JOIN runs USING (study, config_id) WHERE bin < {BINS - 1} AND {level} < max_depth)""",
     )
     q.cte(
         f"split_{tag}",
         f"cand_{tag}",
-        f"""SELECT t.study, t.config_id, t.node, b.f, b.bin AS split_bin, b.gain, t.ht AS cover, CAST(t.n AS BIGINT) AS n,
+        f"""SELECT t.study, t.config_id, t.node, b.f, b.bin AS split_bin, coalesce(b.dl, TRUE) AS default_left, b.gain, t.ht AS cover, CAST(t.n AS BIGINT) AS n,
         CASE WHEN b.f IS NULL THEN -t.eta * t.gt / (t.ht + 1.0::DOUBLE) END AS leaf_value
-        FROM (SELECT * FROM cand_{tag} QUALIFY row_number() OVER (PARTITION BY study, config_id, node ORDER BY f, bin) = 1) t
-        LEFT JOIN (SELECT * FROM cand_{tag} WHERE gain > 0 AND round(hl, 9) >= 1 AND round(ht - hl, 9) >= 1 AND {level} < max_depth
-          QUALIFY row_number() OVER (PARTITION BY study, config_id, node ORDER BY gain DESC, f, bin) = 1) b
+        FROM (SELECT * FROM cell_{tag} JOIN runs USING (study, config_id) QUALIFY row_number() OVER (PARTITION BY study, config_id, node ORDER BY f, bin) = 1) t
+        LEFT JOIN (SELECT * FROM cand_{tag} WHERE units > 0 AND hl >= 1.0::DOUBLE - 5e-10::DOUBLE AND ht - hl >= 1.0::DOUBLE - 5e-10::DOUBLE
+          QUALIFY row_number() OVER (PARTITION BY study, config_id, node ORDER BY units DESC, f, bin, dl DESC) = 1) b
         ON b.study = t.study AND b.config_id = t.config_id AND b.node = t.node""",
+        once=True,
     )
     q.cte(
         f"rows_{t}_{level + 1}",
         f"{rows} split_{tag} binned",
         f"""SELECT r.study, r.config_id, r.sample_id, r.label, r.margin, r.g, r.h, r.used,
-        CASE WHEN s.f IS NOT NULL THEN r.node * 2 + 1 + CASE WHEN b.bin > s.split_bin THEN 1 ELSE 0 END ELSE r.node END AS node,
+        CASE WHEN s.f IS NOT NULL THEN r.node * 2 + 1 + CASE WHEN b.bin IS NULL THEN CAST(NOT s.default_left AS INTEGER) WHEN b.bin > s.split_bin THEN 1 ELSE 0 END
+         ELSE r.node END AS node,
         r.done OR s.f IS NULL AS done, coalesce(r.step, s.leaf_value) AS step
         FROM {rows} r LEFT JOIN split_{tag} s ON s.study = r.study AND s.config_id = r.config_id AND s.node = r.node
         LEFT JOIN binned b ON b.study = r.study AND b.sample_id = r.sample_id AND b.f = s.f""",
+        once=True,
     )
 
 
@@ -362,9 +381,10 @@ for _t in range(ROUNDS):
     q.cte(
         f"kept_{_t}",
         "runs cuts",
-        f"""SELECT study, config_id, f FROM (SELECT r.study, r.config_id, r.colsample, CAST(substr(c.feature, 2) AS INTEGER) + 1 AS f,
+        f"""SELECT study, config_id, f FROM (SELECT r.study, r.config_id, r.colsample, c.f,
         row_number() OVER (PARTITION BY r.study, r.config_id ORDER BY {q.unit_hash('r.seed', "'feature'", str(_t), 'c.feature')}, c.feature) AS o
         FROM runs r JOIN cuts c USING (study)) WHERE o <= greatest(1, floor(colsample * 64 + 1e-9))""",
+        once=True,
     )
     q.cte(
         f"rows_{_t}_0",
@@ -373,6 +393,7 @@ for _t in range(ROUNDS):
         {q.sigmoid('s.margin')} * (1.0::DOUBLE - {q.sigmoid('s.margin')}) AS h,
         {q.unit_hash('r.seed', "'row'", str(_t), 's.sample_id')} < r.subsample AS used, 0 AS node, FALSE AS done, NULL::DOUBLE AS step
         FROM state_{_t} s JOIN runs r USING (study, config_id)""",
+        once=True,
     )
     for _level in range(DEPTH + 1):
         level_ctes(_t, _level)
@@ -380,19 +401,24 @@ for _t in range(ROUNDS):
         f"state_{_t + 1}",
         f"rows_{_t}_{DEPTH + 1}",
         f"SELECT study, config_id, sample_id, label, margin + coalesce(step, 0.0::DOUBLE) AS margin FROM rows_{_t}_{DEPTH + 1}",
+        once=True,
     )
 _LEVELS = [(t, level) for t in range(ROUNDS) for level in range(DEPTH + 1)]
 q.cte(
     "nodes",
     " ".join(f"split_{t}_{level}" for t, level in _LEVELS) + " cuts",
-    f"""SELECT s.study, s.config_id, s.tree_id, CAST(s.node AS INTEGER) AS node_id, c.feature, c.cuts[s.split_bin + 1] AS threshold, s.leaf_value, s.gain, s.cover
+    f"""SELECT s.study, s.config_id, s.tree_id, CAST(s.node AS INTEGER) AS node_id, c.feature, c.cuts[s.split_bin + 1] AS threshold, s.default_left,
+    s.leaf_value, s.gain, s.cover
     FROM ({' UNION ALL '.join(f'SELECT *, {t} AS tree_id FROM split_{t}_{level}' for t, level in _LEVELS)}) s
-    LEFT JOIN cuts c ON c.study = s.study AND CAST(substr(c.feature, 2) AS INTEGER) + 1 = s.f""",
+    LEFT JOIN cuts c ON c.study = s.study AND c.f = s.f""",
+    once=True,
 )
+_POINTS = TRAINED_GRID["nrounds"]
 q.cte(
     "margins",
-    " ".join(f"state_{t + 1}" for t in range(ROUNDS)),
-    " UNION ALL ".join(f"SELECT *, {t + 1} AS nrounds FROM state_{t + 1}" for t in range(ROUNDS)),
+    " ".join(f"state_{t}" for t in _POINTS),
+    " UNION ALL ".join(f"SELECT *, {t} AS nrounds FROM state_{t}" for t in _POINTS),
+    once=True,
 )
 q.cte(
     "gcount",
@@ -416,7 +442,7 @@ q.cte(
 q.cte(
     "best_nodes",
     "best nodes",
-    """SELECT n.study, b.config_id, n.tree_id, n.node_id, n.feature, n.threshold, n.leaf_value, n.gain, n.cover
+    """SELECT n.study, b.config_id, n.tree_id, n.node_id, n.feature, n.threshold, n.default_left, n.leaf_value, n.gain, n.cover
     FROM nodes n JOIN best b ON b.study = n.study AND b.train_id = n.config_id AND n.tree_id < b.nrounds""",
 )
 
@@ -437,7 +463,7 @@ q.cte(
 )
 q.cte("branked", "bcount", q.ranked_text("bcount"))
 
-_NODE_SQL = """study, config_id, tree_id, node_id, feature, round(threshold, 6) AS threshold, round(leaf_value, 6) AS leaf_value,
+_NODE_SQL = """study, config_id, tree_id, node_id, feature, round(threshold, 6) AS threshold, default_left, round(leaf_value, 6) AS leaf_value,
  round(gain, 6) AS gain, round(cover, 6) AS cover"""
 _PLACES = [
     (
@@ -455,7 +481,7 @@ _GLOBAL_SQL = f"""SELECT study, sample_id, 'global' AS model_id, round(sum(margi
 
 QUERIES = {
     "param_grid": (_grid, q.query("gated", grid_text("gated", bo.GRID))),
-    "bin_features": (_bins, q.query("binned", "SELECT study, sample_id, feature, bin FROM binned")),
+    "bin_features": (_bins, q.query("vbinned", "SELECT study, sample_id, feature, bin FROM vbinned")),
     "grad_hess": (
         _grad,
         q.query(
@@ -483,13 +509,13 @@ QUERIES = {
     ),
     "split_histogram": (
         _histogram,
-        q.query("hist_0_0", "SELECT study, config_id, node, f, bin, round(g, 6) AS g, round(h, 6) AS h, n FROM hist_0_0"),
+        q.query("hist_0_1", "SELECT study, config_id, node, f, bin, round(g, 6) AS g, round(h, 6) AS h, n FROM hist_0_1"),
     ),
     "best_split": (
         _best_split,
         q.query(
-            "split_0_0",
-            "SELECT study, config_id, node, f, split_bin, round(gain, 6) AS gain, round(cover, 6) AS cover, n, round(leaf_value, 6) AS leaf_value FROM split_0_0",
+            "split_0_1",
+            "SELECT study, config_id, node, f, split_bin, default_left, round(gain, 6) AS gain, round(cover, 6) AS cover, n, round(leaf_value, 6) AS leaf_value FROM split_0_1",
         ),
     ),
     "grow_trees": (_grow, q.query("nodes", f"SELECT {_NODE_SQL} FROM nodes")),

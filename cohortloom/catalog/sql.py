@@ -9,10 +9,14 @@ from __future__ import annotations
 from ..functions.portable import CDF_DENOMINATOR, CDF_NUMERATOR, CDF_REACH
 
 CTES: dict[str, tuple[list[str], str]] = {}
+#: CTEs that several others read and that are worked out once.
+ONCE: set[str] = set()
 
 
-def cte(name: str, needs: str, text: str) -> None:
+def cte(name: str, needs: str, text: str, once: bool = False) -> None:
     CTES[name] = (needs.split(), text)
+    if once:
+        ONCE.add(name)
 
 
 def query(needs: str, body: str, extra: list[tuple[str, str]] = ()) -> str:
@@ -28,7 +32,7 @@ def query(needs: str, body: str, extra: list[tuple[str, str]] = ()) -> str:
 
     for name in needs.split():
         visit(name)
-    parts = [f"{n} AS ({CTES[n][1]})" for n in done] + [f"{n} AS ({t})" for n, t in extra]
+    parts = [f"{n} AS {'MATERIALIZED ' if n in ONCE else ''}({CTES[n][1]})" for n in done] + [f"{n} AS ({t})" for n, t in extra]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
 
 

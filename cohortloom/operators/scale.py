@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import written
+from ..session import shared_folder, written
 
 SMALL_BYTES = 10 * 1024 * 1024
 MAX_BROADCAST_ROWS = 500_000
@@ -21,6 +21,18 @@ def keep(df: DataFrame, label: str = "kept") -> DataFrame:
     return written(df, label)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """An intermediate step, computed once and cut off from its lineage by a checkpoint in the shared folder.
+
+    Unlike a written table Spark drops it when nothing refers to it any more, if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def planned_bytes(df: DataFrame) -> int:
     """The planner's size estimate, derived from the sizes of the files read."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -48,9 +48,10 @@ def train_local_models(
     lists = keep(lists)
     studies = lists.select("study")
     seeds, settings = keep(bo.study_seeds(studies)), keep(bo.param_grid(studies, grid))
-    _, margins = bo.train_per_study(samples, lists, settings, seeds)
-    best = keep(bo.select_best(bo.grid_auc(keep(margins), settings), settings))
-    nodes, margins = bo.refit_best(samples, lists, best, seeds)
+    nodes, margins = bo.train_per_study(samples, lists, settings, seeds)
+    margins = keep(margins)
+    best = keep(bo.select_best(bo.grid_auc(margins, settings), settings))
+    nodes, margins = bo.chosen_models(nodes, margins, best, settings)
     tree_node = keep(nodes.withColumn("model_id", F.col("study")))
     predictions = margins.select(
         "study", "sample_id", "label", F.col("study").alias("model_id"), bo.sigmoid(F.col("margin")).alias("score")
