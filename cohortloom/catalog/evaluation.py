@@ -12,6 +12,7 @@ from ..operators import logit as lo
 from ..operators import roc
 from ..operators.scale import keep
 from ..plans import derived as d
+from ..plans import validation as va
 from ..session import scratch_path
 from ..sources import training as tr
 from . import sql as q
@@ -73,7 +74,34 @@ def stump_predictions(spark, sf):
         "study", "sample_id", F.col("gene_id").alias("signature"), F.col("value").alias("score")
     )
     predicted = fo.predict_trees(fo.sample_vectors(scores, tree_node), tree_node, model)
-    return predicted.join(d.vec_labels(spark, sf), ["study", "sample_id"])
+    rounded = predicted.withColumn("score", F.round("score", 9))  # margins are sums: their last digits may differ
+    return rounded.join(d.vec_labels(spark, sf), ["study", "sample_id"])
+
+
+def judged(spark, sf):
+    """Predictions of every local model, of the merged model and of a logistic model of one feature."""
+    model, tree_node = d.stump_models(spark, sf)
+    local = stump_predictions(spark, sf).select("study", "sample_id", "label", "model_id", "score")
+    header, merged = va.merge_models(model, keep(tree_node))
+    merged = keep(merged)
+    scores = d.vec_expression(spark, sf).select(
+        "study", "sample_id", F.col("gene_id").alias("signature"), F.col("value").alias("score")
+    )
+    whole = fo.predict_trees(fo.sample_vectors(scores, merged), merged, header).join(d.vec_labels(spark, sf), ["study", "sample_id"])
+    first = keep(
+        d.vec_samples(spark, sf).select(
+            "study", "sample_id", "label", F.lit(va.SIGNATURE).alias("model_id"), F.element_at("values", 1).alias("score")
+        )
+    )
+    fitted = lo.predict_logit(first, lo.fit_logit(first))
+    rows = local
+    for more in (whole, fitted):
+        rows = rows.unionByName(more.select("study", "sample_id", "label", "model_id", F.round("score", 9).alias("score")))
+    return keep(rows)
+
+
+def validated(spark, sf):
+    return va.validate(judged(spark, sf), REPLICATES)
 
 
 def _local_models(spark, sf):
@@ -115,55 +143,25 @@ def _summary(spark, sf):
 
 
 def _stack(spark, sf):
-    ranked = keep(_ranked(spark, sf))
-    band = roc.mean_roc_band(roc.roc_interpolate(ranked)).drop("i").withColumn("model", F.lit("Local Model"))
-    curves = [
-        roc.roc_curve(ranked.filter(F.col("model_id") == m)).select(
-            "study", "spec", "sens", F.lit(name).alias("model")
-        )
-        for m, name in (("m1", "Distributed Model"), ("m2", "Signature Model"))
-    ]
-    rows = roc.stack_curves(band, *curves)
+    rows = validated(spark, sf)["curves"]
     return r6(rows.select("study", "model", "spec", "sens", "sens_upper", "sens_lower"), "spec", "sens", "sens_upper", "sens_lower")
 
 
-def aucs_long(spark, sf):
-    aucs = keep(roc.auc(local_ranked(spark, sf)))
-    signature = keep(roc.auc(roc.ranked_counts(_first_gene(spark, sf))))
-    best = F.max_by("auc", F.struct(F.col("auc"), F.col("model_id")))
-    merged = aucs.groupBy("study").agg(best.alias("auc"))
-    return roc.auc_long(aucs, merged, signature)
-
-
-def _first_gene(spark, sf):
-    return d.vec_samples(spark, sf).select(
-        "study", "sample_id", "label", F.lit("g").alias("model_id"), F.element_at("values", 1).alias("score")
-    )
-
-
 def _auc_long(spark, sf):
-    return r6(aucs_long(spark, sf), "auc")
+    return r6(validated(spark, sf)["auc_long"], "auc")
 
 
 def _sink_eval(spark, sf):
     path = scratch_path(spark, "eval")
-    tr.sink_eval(aucs_long(spark, sf), path)
+    tr.sink_eval(validated(spark, sf)["auc_long"], path)
     return r6(spark.read.parquet(path), "auc")
 
 
-TITLES = [("de", "German texts"), ("en", "English texts")]
+TITLES = [("V0", "First study"), ("V1", "Second study")]
 
 
 def _labels(spark, sf):
-    summary = roc.local_auc_summary(roc.auc(_ranked(spark, sf))).filter("n_models > 0")
-    rows = summary.select(
-        "study",
-        F.lit("Local Mean").alias("name"),
-        F.col("auc_mean").alias("auc"),
-        F.col("auc_low").alias("low"),
-        F.col("auc_high").alias("high"),
-    )
-    return roc.report_labels(rows, literal_rows(spark, "study string, title string", TITLES))
+    return va.labels(validated(spark, sf), literal_rows(spark, "study string, title string", TITLES))
 
 
 def _pair(spark, sf):
@@ -226,16 +224,6 @@ q.cte("vcounts", "vpred", q.counts_text("vpred"))
 q.cte("vranked", "vcounts", q.ranked_text("vcounts"))
 q.cte("vauc", "vcounts", q.auc_text("vcounts"))
 q.cte("vgrid", "vranked", grid_text("vranked"))
-q.cte("gcounts", "vec", q.counts_text("(SELECT study, 'g' AS model_id, label, CAST(v[1] AS DOUBLE) AS score FROM vec)"))
-q.cte("gauc", "gcounts", q.auc_text("gcounts"))
-q.cte(
-    "aucs_long",
-    "vauc gauc",
-    """SELECT study, 'Local Model' AS model, auc FROM vauc UNION ALL SELECT study, 'Distributed Model', max(auc) FROM vauc GROUP BY study
-    UNION ALL SELECT study, 'Signature Model', auc FROM gauc""",
-)
-
-
 def logit_ctes(counts: str, iterations: int = lo.ITERATIONS) -> list[tuple[str, str]]:
     out = [
         (
@@ -256,6 +244,37 @@ def logit_ctes(counts: str, iterations: int = lo.ITERATIONS) -> list[tuple[str,
     return out
 
 
+q.cte("first", "vec", "SELECT study, sample_id, 'signature' AS model_id, label, CAST(v[1] AS DOUBLE) AS score FROM vec")
+q.cte("gcounts", "first", q.counts_text("first"))
+for _i, (_name, _text) in enumerate(logit_ctes("gcounts")):
+    q.cte(_name.replace("b_", "gb_"), "gcounts" if _i == 0 else f"gcounts gb_{_i - 1}", _text.replace(" b_", " gb_"), once=True)
+q.cte(
+    "judged",
+    f"vpred stump_margin first gb_{lo.ITERATIONS}",
+    f"""SELECT study, sample_id, label, model_id, score FROM vpred
+    UNION ALL SELECT study, sample_id, any_value(label), 'global', round({q.sigmoid('sum(margin)')}, 9) FROM stump_margin JOIN vec USING (study, sample_id)
+     GROUP BY study, sample_id
+    UNION ALL SELECT study, sample_id, label, model_id, round({q.sigmoid('b0 + b1 * score')}, 9) FROM first JOIN gb_{lo.ITERATIONS} USING (study, model_id)""",
+    once=True,
+)
+q.cte("jcounts", "judged", q.counts_text("judged"), once=True)
+q.cte("jranked", "jcounts", q.ranked_text("jcounts"), once=True)
+q.cte("jplain", "jcounts", q.auc_text("jcounts"))
+q.cte(
+    "jauc",
+    "judged jplain",
+    """SELECT study, model_id, CASE WHEN mc > mp THEN 1.0::DOUBLE - auc ELSE auc END AS auc FROM (
+    SELECT study, model_id, quantile_cont(score, 0.5) FILTER (label = 0) AS mc, quantile_cont(score, 0.5) FILTER (label = 1) AS mp
+    FROM judged GROUP BY ALL) JOIN jplain USING (study, model_id)""",
+    once=True,
+)
+q.cte("jgrid", "jranked", grid_text("(SELECT * FROM jranked WHERE model_id NOT IN ('global', 'signature'))"))
+q.cte(
+    "aucs_long",
+    "jauc",
+    """SELECT study, CASE model_id WHEN 'global' THEN 'Distributed Model' WHEN 'signature' THEN 'Signature Model' ELSE 'Local Model' END AS model, auc FROM jauc""",
+)
+
 _LOGIT = logit_ctes("counts")
 _B = f"b_{lo.ITERATIONS}"
 _FIT_SQL = f"""SELECT study, model_id, round(n.b0, 6) AS b0, round(n.b1, 6) AS b1,
@@ -263,24 +282,64 @@ _FIT_SQL = f"""SELECT study, model_id, round(n.b0, 6) AS b0, round(n.b1, 6) AS b
  FROM {_B} n JOIN b_{lo.ITERATIONS - 1} o USING (study, model_id)"""
 _TWO = "regexp_replace(CAST(round({}, 2) AS VARCHAR), '\\.0$', '')"
 
+#: Scores of a key in SQL: 2**_TOP at most.
+_TOP = 15
+
+
+def binomial(n: str, share: str, u: str, v: str) -> str:
+    """A binomial number from two uniform ones, as the Spark side has it."""
+    p, q_ = f"least({share}, 1.0::DOUBLE - {share})", f"(1.0::DOUBLE - least({share}, 1.0::DOUBLE - {share}))"
+    step = f"a.m * ({n} - x.k + 1) / x.k * ({p} / {q_})"
+    few = f"""list_reduce(list_prepend({{'k': 0::BIGINT, 'm': pow({q_}, {n}), 'c': pow({q_}, {n})}},
+      list_transform(range(1, least({n}, {bs.STEPS}) + 1), lambda i: {{'k': i, 'm': 0.0::DOUBLE, 'c': 0.0::DOUBLE}})),
+      lambda a, x: {{'k': CASE WHEN a.c < {u} THEN x.k ELSE a.k END, 'm': {step}, 'c': a.c + {step}}}).k"""
+    z = f"(sqrt(-2.0::DOUBLE * ln(greatest({u}, 1.0::DOUBLE / 281474976710656.0::DOUBLE))) * cos(2.0::DOUBLE * pi() * {v}))"
+    many = f"""CAST(least(greatest(floor({n} * {p} + sqrt({n} * {p} * {q_}) * {z} + ({q_} - {p}) * ({z} * {z} - 1.0::DOUBLE) / 6.0::DOUBLE + 0.5::DOUBLE), 0), {n}) AS BIGINT)"""
+    k = f"(CASE WHEN {n} * {p} * {q_} <= {bs.EXACT} THEN {few} ELSE {many} END)"
+    return f"(CASE WHEN {share} <= 0.5 THEN {k} ELSE {n} - {k} END)"
+
+
+def _descent(height: int) -> tuple[str, str]:
+    """Draws of ranges of 2**(height - 1) scores from those twice as wide."""
+    tag = "study || '|' || model_id || '|' || label || '|' || replicate || '|' || " + f"'{height}|' || j"
+    word = lambda a: f"CAST(CAST(concat('0x', substr(md5({tag}), {a}, 12)) AS BIGINT) AS DOUBLE) / 281474976710656.0::DOUBLE"
+    split = binomial("n", "p", "u", "v")
+    return (
+        f"lv_{height - 1}",
+        f"""SELECT study, model_id, label, replicate, 2 * j + side AS j, CASE side WHEN 0 THEN k ELSE n - k END AS n FROM (
+        SELECT *, CASE WHEN p >= 1 THEN n WHEN p <= 0 THEN 0 ELSE {split} END AS k FROM (
+         SELECT d.*, l.c / CAST(w.c AS DOUBLE) AS p, {word(1)} AS u, {word(13)} AS v FROM lv_{height} d
+         JOIN (SELECT study, model_id, label, i >> {height} AS j, sum(c) AS c FROM leafs GROUP BY ALL) w USING (study, model_id, label, j)
+         JOIN (SELECT study, model_id, label, i >> {height} AS j, sum(CASE WHEN (i >> {height - 1}) & 1 = 0 THEN c ELSE 0 END) AS c
+               FROM leafs GROUP BY ALL) l USING (study, model_id, label, j)))
+        CROSS JOIN (SELECT unnest([0, 1]) AS side) WHERE CASE side WHEN 0 THEN k ELSE n - k END > 0""",
+    )
+
+
+def boot_ctes(counts: str) -> list[tuple[str, str]]:
+    return [("leafs", _LEAFS.format(counts)), *_BOOT]
+
+
+_LEAFS = """SELECT study, model_id, score, row_number() OVER (PARTITION BY study, model_id ORDER BY score) - 1 AS i, unnest([1, 0]) AS label,
+        unnest([pos, neg]) AS c FROM {}"""
 _BOOT = [
     (
-        "items",
-        """SELECT study, model_id, label, round(score, 9) AS score, count(*) OVER (PARTITION BY study, model_id, label) AS size,
-        row_number() OVER (PARTITION BY study, model_id, label ORDER BY score) - 1 AS place FROM doc""",
+        f"lv_{_TOP}",
+        f"""SELECT study, model_id, label, CAST(unnest(range(1, {REPLICATES + 1})) AS INTEGER) AS replicate, CAST(0 AS BIGINT) AS j, CAST(sum(c) AS BIGINT) AS n
+        FROM leafs GROUP BY study, model_id, label HAVING sum(c) > 0""",
     ),
+    *[_descent(h) for h in range(_TOP, 0, -1)],
     (
-        "draws",
-        f"""SELECT study, model_id, label, replicate, {q.hash48('study', 'model_id', 'label', 'replicate', 'place')} % size AS place
-        FROM items CROSS JOIN (SELECT unnest(range(1, {REPLICATES + 1})) AS replicate)""",
+        "bcounts",
+        """SELECT study, model_id, replicate, j AS score, coalesce(sum(n) FILTER (label = 1), 0) AS pos, coalesce(sum(n) FILTER (label = 0), 0) AS neg
+        FROM lv_0 GROUP BY ALL""",
     ),
     (
-        "drawn",
-        """SELECT d.study, d.model_id, d.replicate, d.label, i.score FROM draws d
-        JOIN items i ON i.study = d.study AND i.model_id = d.model_id AND i.label = d.label AND i.place = d.place""",
+        "baucs",
+        """SELECT study, model_id, replicate, sum(pos * (b + neg / 2.0::DOUBLE)) / nullif(CAST(sum(pos) * sum(neg) AS DOUBLE), 0) AS auc FROM (
+        SELECT *, coalesce(sum(neg) OVER (PARTITION BY study, model_id, replicate ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
+        FROM bcounts) GROUP BY ALL""",
     ),
-    ("bcounts", q.counts_text("drawn", "study, model_id, replicate")),
-    ("baucs", q.auc_text("bcounts", "study, model_id, replicate")),
 ]
 
 QUERIES = {
@@ -303,10 +362,10 @@ QUERIES = {
     "bootstrap_auc_ci": (
         _bootstrap,
         q.query(
-            "doc",
+            "counts",
             """SELECT study, model_id, round(quantile_cont(auc, 0.025), 6) AS low, round(quantile_cont(auc, 0.5), 6) AS mid,
             round(quantile_cont(auc, 0.975), 6) AS high, count(auc) AS n FROM baucs WHERE auc IS NOT NULL GROUP BY study, model_id""",
-            _BOOT,
+            boot_ctes("counts"),
         ),
     ),
     "youden_threshold": (
@@ -380,21 +439,33 @@ QUERIES = {
     "stack_curves": (
         _stack,
         q.query(
-            "grid150 roc",
+            "jgrid jranked",
             """SELECT study, model, round(spec, 6) AS spec, round(sens, 6) AS sens, round(sens_upper, 6) AS sens_upper, round(sens_lower, 6) AS sens_lower FROM (
             SELECT study, 'Local Model' AS model, spec, sens, sens_upper, sens_lower FROM band
-            UNION ALL SELECT study, CASE model_id WHEN 'm1' THEN 'Distributed Model' ELSE 'Signature Model' END, spec, sens, NULL, NULL FROM roc)""",
-            [("band", band_text("grid150"))],
+            UNION ALL SELECT study, CASE model_id WHEN 'global' THEN 'Distributed Model' ELSE 'Signature Model' END, 1.0::DOUBLE - fp / nullif(CAST(n AS DOUBLE), 0),
+             tp / nullif(CAST(p AS DOUBLE), 0), NULL, NULL FROM jcurve WHERE model_id IN ('global', 'signature'))""",
+            [
+                ("band", band_text("jgrid")),
+                (
+                    "jcurve",
+                    """SELECT study, model_id, p - bp AS tp, n - bn AS fp, p, n FROM jranked
+                    UNION ALL SELECT study, model_id, 0, 0, max(p), max(n) FROM jranked GROUP BY ALL""",
+                ),
+            ],
         ),
     ),
     "auc_long": (_auc_long, q.query("aucs_long", "SELECT study, model, round(auc, 6) AS auc FROM aucs_long")),
     "report_labels": (
         _labels,
         q.query(
-            "aucs",
-            f"""SELECT study, CASE study WHEN 'de' THEN 'German texts' WHEN 'en' THEN 'English texts' ELSE study END AS title, 'Local Mean' AS name,
-            'Local Mean AUC: ' || {_TWO.format('avg(auc)')} || ' [' || {_TWO.format('quantile_cont(auc, 0.025)')} || '-' || {_TWO.format('quantile_cont(auc, 0.975)')} || ']' AS label
-            FROM aucs GROUP BY study HAVING count(auc) > 0""",
+            "jauc jcounts",
+            f"""SELECT study, CASE study WHEN 'V0' THEN 'First study' WHEN 'V1' THEN 'Second study' ELSE study END AS title, name,
+            name || ' AUC: ' || {_TWO.format('auc')} || ' [' || {_TWO.format('low')} || '-' || {_TWO.format('high')} || ']' AS label FROM (
+            SELECT study, 'Local Mean' AS name, avg(auc) AS auc, quantile_cont(auc, 0.025) AS low, quantile_cont(auc, 0.975) AS high
+             FROM jauc WHERE model_id NOT IN ('global', 'signature') GROUP BY study
+            UNION ALL SELECT study, CASE model_id WHEN 'global' THEN 'Distributed Model' ELSE 'Signature Model' END, any_value(a.auc), quantile_cont(r.auc, 0.025),
+             quantile_cont(r.auc, 0.975) FROM jauc a JOIN baucs r USING (study, model_id) GROUP BY study, model_id)""",
+            boot_ctes("(SELECT * FROM jcounts WHERE model_id IN ('global', 'signature'))"),
         ),
     ),
     "pair_inputs": (

@@ -161,7 +161,7 @@ def _sink_importance(spark, sf):
 
 def _train_summary(spark, sf):
     best, _, margins = refitted(spark, sf)
-    predictions = margins.withColumn("score", bo.sigmoid(F.col("margin"))).withColumnRenamed("config_id", "model_id")
+    predictions = margins.withColumn("score", F.round(bo.sigmoid(F.col("margin")), 9)).withColumnRenamed("config_id", "model_id")
     return bo.train_summary(best, roc.youden_threshold(roc.ranked_counts(predictions))).drop("reported_at")
 
 
@@ -424,7 +424,7 @@ q.cte(
     "gcount",
     "margins",
     q.counts_text(
-        f"(SELECT study, config_id AS train_id, nrounds, label, {q.sigmoid('margin')} AS score FROM margins)", "study, train_id, nrounds"
+        f"(SELECT study, config_id AS train_id, nrounds, label, round({q.sigmoid('margin')}, 9) AS score FROM margins)", "study, train_id, nrounds"
     ),
 )
 q.cte("train_auc", "gcount", q.auc_text("gcount", "study, train_id, nrounds"))
@@ -457,7 +457,7 @@ q.cte(
     "bcount",
     "best margins",
     q.counts_text(
-        f"""(SELECT m.study, b.config_id AS model_id, m.label, {q.sigmoid('m.margin')} AS score FROM margins m
+        f"""(SELECT m.study, b.config_id AS model_id, m.label, round({q.sigmoid('m.margin')}, 9) AS score FROM margins m
         JOIN best b ON b.study = m.study AND b.train_id = m.config_id AND b.nrounds = m.nrounds)"""
     ),
 )

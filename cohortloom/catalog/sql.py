@@ -404,7 +404,7 @@ cte(
 
 
 def counts_text(source: str, keys: str = "study, model_id") -> str:
-    return f"""SELECT {keys}, round(score, 9) AS score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg
+    return f"""SELECT {keys}, score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg
     FROM {source} WHERE label IS NOT NULL AND score IS NOT NULL GROUP BY ALL"""
 
 

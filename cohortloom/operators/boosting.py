@@ -14,7 +14,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import sigmoid, unit_hash
+from ..functions import round9, sigmoid, unit_hash
 from ..session import scratch_path
 from .roc import auc, ranked_counts
 from .scale import attach, exact_quantiles, held, keep
@@ -550,9 +550,12 @@ def train_per_study(
 
 
 def grid_auc(margins: DataFrame, grid: DataFrame, apply_gamma: bool = False) -> DataFrame:
-    """Training AUC of every setting: study, config_id, auc."""
+    """Training AUC of every setting: study, config_id, auc.
+
+    Scores that agree to 9 digits tie: margins are sums whose last digits depend on the order of rows.
+    """
     keys = ("study", "train_id", "nrounds")
-    predictions = margins.withColumnRenamed("config_id", "train_id").withColumn("score", sigmoid(F.col("margin")))
+    predictions = margins.withColumnRenamed("config_id", "train_id").withColumn("score", round9(sigmoid(F.col("margin"))))
     aucs = auc(ranked_counts(predictions, keys, buckets=64), keys)
     return attach(distinct_trainings(grid, apply_gamma).select("study", "config_id", "train_id", "nrounds"), aucs, keys).select(
         "study", "config_id", "auc"

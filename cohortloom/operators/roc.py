@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import round9
 from .scale import BUCKETS, attach, cumulative
 
 KEYS = ("study", "model_id")
@@ -18,9 +17,10 @@ GRID_POINTS = 150
 
 
 def score_counts(predictions: DataFrame, keys=KEYS) -> DataFrame:
+    """Distinct scores with label counts. Scores tie only if they are equal; who wants ties closer by rounds them before."""
     return (
         predictions.filter(F.col("label").isNotNull() & F.col("score").isNotNull())
-        .groupBy(*keys, round9("score").alias("score"))
+        .groupBy(*keys, F.col("score").cast("double").alias("score"))
         .agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
     )
 
@@ -211,9 +211,10 @@ def auc_long(local: DataFrame, merged: DataFrame, signature: DataFrame) -> DataF
 def report_labels(summary: DataFrame, titles: DataFrame) -> DataFrame:
     """Study title and "name AUC: x [low-high]", two decimals.
 
-    ``summary`` is (study, name, auc, low, high).
+    ``summary`` is (study, name, auc, low, high). What is not known is NA.
     """
-    two = lambda c: F.regexp_replace(F.round(c, 2).cast("string"), r"\.0$", "")
+    shown = lambda c: F.regexp_replace(F.round(c, 2).cast("string"), r"\.0$", "")
+    two = lambda c: F.coalesce(shown(c), F.lit("NA"))
     label = F.concat(
         "name", F.lit(" AUC: "), two("auc"), F.lit(" ["), two("low"), F.lit("-"), two("high"), F.lit("]")
     )

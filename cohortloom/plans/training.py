@@ -54,7 +54,7 @@ def train_local_models(
     nodes, margins = bo.chosen_models(nodes, margins, best, settings)
     tree_node = keep(nodes.withColumn("model_id", F.col("study")))
     predictions = margins.select(
-        "study", "sample_id", "label", F.col("study").alias("model_id"), bo.sigmoid(F.col("margin")).alias("score")
+        "study", "sample_id", "label", F.col("study").alias("model_id"), F.round(bo.sigmoid(F.col("margin")), 9).alias("score")
     )
     thresholds = roc.youden_threshold(roc.ranked_counts(predictions))
     model = best.select(

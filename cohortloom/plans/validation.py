@@ -46,6 +46,20 @@ def predictions(
     return trees.join(labels, ["study", "sample_id"]).unionByName(fitted)
 
 
+def labels(validated: dict[str, DataFrame], titles: DataFrame) -> DataFrame:
+    """Three labels per study, each with an AUC and both its bounds: the local models' mean and quantiles, the merged and
+    the signature model with their bootstrap interval. ``validated`` is a result of :func:`validate`."""
+    local = validated["local_summary"].select(
+        "study", F.lit("Local Mean").alias("name"), F.col("auc_mean").alias("auc"), F.col("auc_low").alias("low"), F.col("auc_high").alias("high")
+    )
+    names = F.create_map(F.lit(GLOBAL), F.lit("Distributed Model"), F.lit(SIGNATURE), F.lit("Signature Model"))
+    single = validated["aucs"].filter(F.col("model_id").isin(GLOBAL, SIGNATURE))
+    single = single.join(validated["intervals"], ["study", "model_id"], "left").select(
+        "study", names[F.col("model_id")].alias("name"), "auc", "low", "high"
+    )
+    return roc.report_labels(local.unionByName(single), titles)
+
+
 def validate(predicted: DataFrame, replicates: int = bs.REPLICATES) -> dict[str, DataFrame]:
     """auc_long, curves, intervals and local summary of :func:`predictions`."""
     predicted = keep(predicted)
@@ -55,12 +69,13 @@ def validate(predicted: DataFrame, replicates: int = bs.REPLICATES) -> dict[str,
     only = lambda df, name: df.filter(F.col("model_id") == name)
     band = roc.mean_roc_band(roc.roc_interpolate(ranked.filter(local))).drop("i")
     curves = [
-        roc.roc_curve(only(ranked, name)).select("study", "spec", "sens", F.lit(name).alias("model"))
-        for name in (GLOBAL, SIGNATURE)
+        roc.roc_curve(only(ranked, name)).select("study", "spec", "sens", F.lit(title).alias("model"))
+        for name, title in ((GLOBAL, "Distributed Model"), (SIGNATURE, "Signature Model"))
     ]
     return {
+        "aucs": aucs,
         "auc_long": roc.auc_long(aucs.filter(local), only(aucs, GLOBAL), only(aucs, SIGNATURE)),
-        "curves": roc.stack_curves(band.withColumn("model", F.lit("local")), *curves),
+        "curves": roc.stack_curves(band.withColumn("model", F.lit("Local Model")), *curves),
         "intervals": bs.bootstrap_auc_ci(predicted.filter(~local), replicates),
         "local_summary": roc.local_auc_summary(aucs.filter(local)),
     }

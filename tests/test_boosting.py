@@ -44,7 +44,7 @@ def test_search_and_chosen_models(run, duck):
     same(r6(importance, "gain", "cover", "frequency"), duck, "feature_importance")
     for r in importance.groupBy("study").agg(F.sum("gain").alias("g"), F.sum("frequency").alias("f")).collect():
         assert r.g == pytest.approx(1) and r.f == pytest.approx(1)
-    predictions = last.withColumn("score", bo.sigmoid(F.col("margin"))).withColumnRenamed("config_id", "model_id")
+    predictions = last.withColumn("score", F.round(bo.sigmoid(F.col("margin")), 9)).withColumnRenamed("config_id", "model_id")
     summary = bo.train_summary(best, roc.youden_threshold(roc.ranked_counts(predictions))).drop("reported_at")
     same(summary, duck, "train_summary")
 

@@ -32,4 +32,4 @@ def test_end_to_end(spark, sf):
     assert len(aucs) == 3 * 5 and all(0 <= r.auc <= 1 for r in aucs)
     assert report["intervals"].count() == 6
     assert report["local_summary"].count() == 3
-    assert report["curves"].filter("model = 'local'").count() == 3 * 150
+    assert report["curves"].filter("model = 'Local Model'").count() == 3 * 150

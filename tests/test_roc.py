@@ -79,16 +79,49 @@ def test_grid_has_every_point_once(spark):
             assert r.sens == pytest.approx(lo_ + (r.spec - a) / (b - a) * (hi - lo_))
 
 
-def test_bootstrap_keeps_class_sizes_and_brackets_auc(spark, monkeypatch):
-    monkeypatch.setattr(bs, "RUN", 7)  # several runs per tied score
+def test_close_scores_do_not_tie(spark):
+    rows = [("s", "m", int(i >= 50), 0.5 + i * 1e-10) for i in range(100)]
+    assert roc.auc(roc.ranked_counts(frame(spark, rows))).first().auc == 1.0
+    rows = [("s", "m", 0, -0.0), ("s", "m", 1, 0.0)]
+    assert roc.auc(roc.ranked_counts(frame(spark, rows))).first().auc == 0.5
+
+
+@pytest.mark.parametrize("least", [2, 6])
+def test_bootstrap_brackets_auc_and_like_redrawn_samples(spark, monkeypatch, least):
+    monkeypatch.setattr(bs, "LEAST", least)  # several blocks
+    monkeypatch.setattr(bs, "BLOCKS", 64 if least == 2 else 4096)
     rows = random_rows(4, 120)
-    per = bs.bootstrap_auc(frame(spark, rows), 40, buckets=4)
-    assert per.count() == 40
-    ci = bs.bootstrap_auc_ci(frame(spark, rows), 40, buckets=4).first()
-    assert ci.low <= ci.mid <= ci.high and ci.low < brute_auc(rows) < ci.high
-    items = bs._items(roc.ranked_counts(frame(spark, rows), buckets=4).withColumn("_bucket", F.lit(0)), roc.KEYS)
-    places = items.groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("at").alias("d"), F.max("at").alias("m"))
-    assert all(r.n == r.d == r.m + 1 for r in places.collect()) and items.count() == 120
+    per = [r.auc for r in bs.bootstrap_auc(frame(spark, rows), 400, buckets=4).collect()]
+    ci = bs.bootstrap_auc_ci(frame(spark, rows), 400, buckets=4).first()
+    assert len(per) == ci.n == 400 and ci.low <= ci.mid <= ci.high and ci.low < brute_auc(rows) < ci.high
+    draw = np.random.default_rng(1)
+    pos, neg = ([r for r in rows if r[2] == y] for y in (1, 0))
+    again = [brute_auc([c[i] for c in (pos, neg) for i in draw.integers(0, len(c), len(c))]) for _ in range(400)]
+    assert abs(np.mean(per) - np.mean(again)) < 0.02 and abs(np.std(per) - np.std(again)) < 0.01
+
+
+def test_blocks_change_nothing(spark, monkeypatch):
+    rows = frame(spark, random_rows(5, 90))
+    one = sorted(r.auc for r in bs.bootstrap_auc(rows, 30).collect())
+    monkeypatch.setattr(bs, "LEAST", 1)
+    assert sorted(r.auc for r in bs.bootstrap_auc(rows, 30).collect()) == one
+
+
+def test_draws_keep_their_sum():
+    counts = np.random.default_rng(2).integers(0, 4, 64)
+    before = np.concatenate([[0], np.cumsum(counts)])
+    out = bs.split(np.full(50, counts.sum()), before, "x", np.arange(50), 6, 0, 6)
+    assert (out.sum(1) == counts.sum()).all() and (out[:, counts == 0] == 0).all()
+    assert np.allclose(out.mean(0), counts, atol=1.2)
+
+
+@pytest.mark.parametrize("n, p", [(1, 0.5), (12, 0.3), (40, 0.9), (10_000, 0.0004), (1000, 0.37), (10**6, 0.75)])
+def test_binomials(n, p):
+    u, v = bs.uniforms([f"{n}|{p}|{i}" for i in range(20_000)])
+    k = bs.binomials(np.full(20_000, n), np.full(20_000, p), u, v)
+    sd = (n * p * (1 - p)) ** 0.5
+    assert k.min() >= 0 and k.max() <= n
+    assert abs(k.mean() - n * p) < 5 * sd / 20_000**0.5 and abs(k.std() / sd - 1) < 0.03
 
 
 def test_logit_matches_spark_glm(spark):
