@@ -19,11 +19,13 @@ SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
 #: Groups with fewer documents take the limits of their language, or of all documents.
 MIN_GROUP = 50
-#: A limit lies so many quartile distances outside the quartiles.
+#: A limit lies so many quartile distances outside the quartiles, or mean deviations from the median if those are more.
 REACH = 3
-#: Per metric: the least upper limit, and the least quartile distance as a share of the median. Symbols and
-#: repeated lines are counted per 1,000 words, the mean word length in hundredths of a character.
-METRICS = {"symbols": (100, None), "dup_lines": (150, None), "word_length": (None, 0.125)}
+#: What follows from the quantiles of a metric: limits on both sides of the quartiles, one above them, or one as many
+#: distances beyond the 99th percentile as that lies above the median, where most values are equal and a few are not.
+#: Symbols and repeated lines are counted per 1,000 words, the mean word length in hundredths of a character.
+BOTH, ABOVE, TAIL = "both", "above", "tail"
+METRICS = {"symbols": ABOVE, "dup_lines": TAIL, "word_length": BOTH}
 #: Values are kept to so many leading bits in a sketch: a quantile is exact to 1 part in 2**(BITS - 1).
 BITS = 6
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -163,16 +165,21 @@ def limits(sketch: DataFrame) -> DataFrame:
     upto = whole.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     ranked = sketch.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(whole))
     at = lambda p: F.min(F.when(F.col("upto") >= F.col("total") * p, F.col("value")))
-    quartiles = ranked.groupBy(*of).agg(
-        F.first("total").alias("total"), at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3")
+    middle = ranked.withColumn("q2", at(0.5).over(whole))
+    quartiles = middle.groupBy(*of).agg(
+        F.first("total").alias("total"),
+        at(0.25).alias("q1"),
+        F.first("q2").alias("q2"),
+        at(0.75).alias("q3"),
+        at(0.99).alias("q99"),
+        (F.sum(F.col("n") * F.abs(F.col("value") - F.col("q2"))) / F.first("total")).alias("deviation"),
     )
     chosen = []
-    for name, (floor, share) in METRICS.items():
-        spread = F.col("q3") - F.col("q1")
-        spread = F.greatest(spread, F.col("q2") * share) if share else spread.cast("double")
-        high = F.col("q3") + REACH * spread
-        high = F.greatest(high, F.lit(float(floor))) if floor is not None else high
-        low = F.col("q1") - REACH * spread if share else F.lit(0.0)
+    spread = REACH * F.greatest((F.col("q3") - F.col("q1")).cast("double"), F.col("deviation"))
+    tail = F.col("q99") + REACH * (F.col("q99") - F.col("q2"))
+    for name, kind in METRICS.items():
+        high = tail.cast("double") if kind == TAIL else F.col("q3") + spread
+        low = F.col("q1") - spread if kind == BOTH else F.lit(0.0)
         mine = F.col("metric") == name
         chosen += [F.max(F.when(mine, low)).alias(f"{name}_low"), F.max(F.when(mine, high)).alias(f"{name}_high")]
     return quartiles.filter(F.col("total") >= MIN_GROUP).groupBy("level", "lang", "source").agg(*chosen)
@@ -216,8 +223,8 @@ def verdicts(docs: DataFrame) -> DataFrame:
     """Per document (``doc_id``, ``text``, ``lang``, ``source``) its counts, ``base_failed`` and ``kept``.
 
     A document is kept if it passes the base rules (words, repeated windows) and its symbols, repeated lines and
-    mean word length lie within the limits of its language and source, which follow the quartiles of the documents
-    there. Null languages and sources are groups of their own; a null text is empty and fails the base rules; rows are judged
+    mean word length lie within the limits of its language and source, which follow from the quantiles of the documents
+    there and from nothing else. Null languages and sources are groups of their own; a null text is empty and fails the base rules; rows are judged
     one by one, so null and repeated doc_ids stay. With too few documents for any limit the base rules decide.
     Other columns are not read; an empty table gives an empty result.
     """

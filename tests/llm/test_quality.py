@@ -51,12 +51,12 @@ def limits_of(rows):
             found = values.get(group, [])
             if len(found) >= quality.MIN_GROUP:
                 out = []
-                for k, (floor, share) in enumerate(quality.METRICS.values()):
+                for k, kind in enumerate(quality.METRICS.values()):
                     v = sorted(x[k] for x in found)
-                    q1, q2, q3 = (v[int(np.ceil(p * len(v))) - 1] for p in (0.25, 0.5, 0.75))
-                    spread = max(q3 - q1, q2 * share) if share else q3 - q1
-                    high = q3 + quality.REACH * spread
-                    out.append((q1 - quality.REACH * spread if share else 0, max(high, floor) if floor is not None else high))
+                    q1, q2, q3, q99 = (v[int(np.ceil(p * len(v))) - 1] for p in (0.25, 0.5, 0.75, 0.99))
+                    spread = quality.REACH * max(q3 - q1, sum(abs(x - q2) for x in v) / len(v))
+                    high = q99 + quality.REACH * (q99 - q2) if kind == quality.TAIL else q3 + spread
+                    out.append((q1 - spread if kind == quality.BOTH else 0, high))
                 return out
         return [(0, float("inf"))] * 3
 
@@ -102,5 +102,15 @@ def test_labelled_documents(spark, duck, sf):
     assert np.mean([r.kept for r in good]) > 0.97 and np.mean([r.kept for r in bad]) < 0.2
 
 
+def test_limits_follow_the_data(frame):
+    """The same text is kept where its kind is common and goes where it is not: no cutoff is fixed."""
+    plain = " ".join(f"word{i}" for i in range(40))
+    noisy = " ".join(f"word{i}#" for i in range(40))
+    rows = [(i, plain + f" x{i}", "en", "prose") for i in range(95)] + [(i, noisy, "en", "prose") for i in range(95, 100)]
+    rows += [(i, noisy + f" x{i}", "en", "code") for i in range(100, 195)] + [(i, plain, "en", "code") for i in range(195, 200)]
+    kept = {r.doc_id for r in quality.verdicts(frame(rows)).collect() if r.kept}
+    assert kept >= set(range(95)) | set(range(100, 195)) and not kept & set(range(95, 100))
+
+
 def test_empty(frame):
     assert quality.verdicts(frame([])).collect() == [] and quality.keep(frame([])).collect() == []
