@@ -12,6 +12,39 @@ def test_pages_of_the_table(spark, sf):
         assert r.text == " ".join(b for b in blocks if b) and r.n_chars == len(r.text)
 
 
+def test_pages_without_their_article_element(spark, sf):
+    """The distribution alone finds the text: same result where only neutral elements hold it."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("html").collect()
+    for r in pages:
+        bare = r.html.replace("<article>", "<div>").replace("</article>", "</div>")
+        assert he.main_text(bare) == he.main_text(r.html)
+
+
+def test_windows_and_threshold_decide(spark, sf):
+    pages = [r.html.replace("<article>", "<div>").replace("</article>", "</div>") for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    texts = {kind: [he.main_text(p, *kind) for p in pages] for kind in ((3, 86), (1, 400))}
+    assert texts[3, 86] != texts[1, 400]
+    long = "A paragraph of some length that surges over the threshold on its own because it has enough characters."
+    gap = f"<p>{long}</p><p><a href=x>A link between</a></p><p>{long}</p>"
+    assert he.main_text(gap) == f"{long} A link between {long}" and he.main_text(gap, 1) == f"{long} {long}"
+    assert he.main_text(f"<p>Small talk.</p><p><a>x</a></p><p><a>y</a></p><p><a>z</a></p><p>{long}</p>") == long
+    inside = "<article><p>Short text.</p></article>"
+    outside = "<div><p>" + "A long paragraph outside of the article. " * 30 + "</p></div>"
+    assert he.main_text(inside + "<p>(c) 2020</p>") == "Short text."
+    assert len(he.main_text(inside + outside)) > 1000 and he.main_text(inside + outside, 3, 5000) == "Short text."
+
+
+def test_names_that_only_contain_such_words():
+    work = "We follow earlier work on sliding windows."
+    page = (
+        f"<article><h1>T</h1><p>First.</p><div class='related-work'><p>{work}</p></div><div class=content-header><p>Second part.</p></div>"
+        "<div class='related links'><p>See also</p></div><div class='cookie-notice'><p>We use cookies</p></div><p>Last.</p></article>"
+    )
+    assert he.main_text(page) == f"T First. {work} Second part. Last."
+    assert he.named("related-work") == he.named("content-header") == "part"
+    assert he.named("ad-slot") == he.named("cookieNotice big") == he.named("comment-list") == "other" and he.named("leader board") is None
+
+
 def test_surge_and_dive():
     assert he.between([0, 0, 5, 90, 0, 0, 0, 3, 0, 0, 0, 200], 86) == [(1, 4), (9, 12)]
     assert he.between([], 86) == [] and he.between([1, 1], 86) == []
