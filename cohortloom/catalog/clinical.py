@@ -110,32 +110,56 @@ def logged(spark, sf):
     return sc.log_expr(cl.restrict_samples(d.basket_tpm(spark, sf), gated(spark, sf)))
 
 
-LIGHT = ["COX", "IPS", "S3"]
+def all_scores(spark, sf):
+    """Scores of every signature of the gated studies, whatever its method."""
+    expr = sc.keep(sc.gene_missing_filter(sc.keep(logged(spark, sf))))
+    return sc.score_all(expr, d.basket_signatures(spark, sf), d.basket_signature_info(spark), min_samples=0)
+
+
+def names_of(signatures) -> list[str]:
+    """Signature names in order: the columns of a wide table, one row for the driver."""
+    return signatures.agg(F.sort_array(F.collect_set("signature")).alias("s")).first().s
 
 
 def _train_csv(spark, sf):
     path = scratch_path(spark, "train")
-    scores = ft.select_signatures(light_scores(spark, sf), d.basket_selected(spark, sf))
-    wide = tr.train_wide(ft.filter_common(scores, ft.common_features(scores)), gated(spark, sf), LIGHT)
+    selected = sc.keep(d.basket_selected(spark, sf))
+    names = names_of(selected)
+    scores = sc.keep(ft.select_signatures(all_scores(spark, sf), selected))
+    wide = tr.train_wide(ft.filter_common(scores, ft.common_features(scores)), gated(spark, sf), names)
     tr.sink_train_csv(wide, path)
-    return path
+    return path, names
 
 
 def _sink_train(spark, sf):
-    rows = spark.read.option("header", "true").csv(_train_csv(spark, sf))
+    path, names = _train_csv(spark, sf)
+    rows = spark.read.option("header", "true").csv(path)
+    return rows.select("study", *[F.round(F.col(c).cast("double"), 6).alias(c.lower()) for c in names], "response")
+
+
+def _scan_train(spark, sf):
+    path, names = _train_csv(spark, sf)
+    rows = tr.scan_train_csv(spark, path, names)
     return rows.groupBy("study", "response").agg(
-        F.count(F.lit(1)).alias("n"), *[F.round(F.avg(F.col(c).cast("double")), 6).alias(c.lower()) for c in LIGHT]
+        F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 6).alias(c.lower()) for c in names]
     )
 
 
-def _scan_train(spark, sf):
-    rows = tr.scan_train_csv(spark, _train_csv(spark, sf), LIGHT)
-    return rows.select("study", *[F.round(c, 6).alias(c.lower()) for c in LIGHT], "response")
+#: The names that the derived signature list has, for the columns of the SQL side.
+NAMES = ["BAD", "COX", "IPR", "IPS", "OV", "PAS", "PIO", "S0", "S1", "S2", "S3", "S4", "UNK"]
+SELECTED = [n for n in NAMES if n != "S4"]
+
 
+def wide_columns(names: list[str], value: str = "score") -> str:
+    return ", ".join(f"max({value}) FILTER (signature = '{n}') AS {n.lower()}" for n in names)
 
-_WIDE = """SELECT study, sample_id, max(score) FILTER (signature = 'COX') AS cox, max(score) FILTER (signature = 'IPS') AS ips,
- max(score) FILTER (signature = 'S3') AS s3 FROM light WHERE signature IN (SELECT signature FROM light GROUP BY 1
- HAVING count(DISTINCT study) = (SELECT count(DISTINCT study) FROM light)) GROUP BY ALL"""
+
+def each(names: list[str], text: str) -> str:
+    return ", ".join(text.format(n.lower()) + f" AS {n.lower()}" for n in names)
+
+
+_WIDE = f"""SELECT study, sample_id, {wide_columns(SELECTED)} FROM scores WHERE signature IN (SELECT signature FROM scores GROUP BY 1
+ HAVING count(DISTINCT study) = (SELECT count(DISTINCT study) FROM scores)) GROUP BY ALL"""
 
 _TERM_SQL = """SELECT r_name AS study, CAST(c_custkey AS VARCHAR) AS sample_id,
  CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'SKCM' WHEN 'BUILDING' THEN ' melanoma ' WHEN 'FURNITURE' THEN 'Lung' WHEN 'MACHINERY' THEN 'Rare tumour' END AS cancer,
@@ -177,18 +201,18 @@ QUERIES = {
     "scan_train_csv": (
         _scan_train,
         q.query(
-            "light valid",
-            """SELECT study, round(cox, 6) AS cox, round(ips, 6) AS ips, round(s3, 6) AS s3, response
-            FROM wide JOIN valid USING (study, sample_id)""",
+            "scores valid",
+            f"""SELECT study, response, count(*) AS n, {each(SELECTED, 'round(avg({}), 6)')}
+            FROM wide JOIN valid USING (study, sample_id) GROUP BY ALL""",
             [("wide", _WIDE)],
         ),
     ),
     "sink_train_csv": (
         _sink_train,
         q.query(
-            "light valid",
-            """SELECT study, response, count(*) AS n, round(avg(cox), 6) AS cox, round(avg(ips), 6) AS ips, round(avg(s3), 6) AS s3
-            FROM wide JOIN valid USING (study, sample_id) GROUP BY ALL""",
+            "scores valid",
+            f"""SELECT study, {each(SELECTED, 'round({}, 6)')}, response
+            FROM wide JOIN valid USING (study, sample_id)""",
             [("wide", _WIDE)],
         ),
     ),

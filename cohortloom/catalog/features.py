@@ -9,21 +9,22 @@ from ..operators import features as ft
 from ..operators import scoring as sc
 from ..plans import derived as d
 from . import sql as q
-from .clinical import LIGHT, gated, light_scores
+from .clinical import NAMES, all_scores, each, gated, names_of, wide_columns
 from .scoring import r6
 
 
 def _select(spark, sf):
-    return r6(ft.select_signatures(light_scores(spark, sf), d.basket_selected(spark, sf)), "score")
+    return r6(ft.select_signatures(all_scores(spark, sf), d.basket_selected(spark, sf)), "score")
 
 
 def _pivot(spark, sf):
-    wide = ft.pivot_scores(light_scores(spark, sf), LIGHT)
-    return wide.select("study", "sample_id", *[F.round(c, 6).alias(c.lower()) for c in LIGHT])
+    names = names_of(d.basket_signatures(spark, sf))
+    wide = ft.pivot_scores(all_scores(spark, sf), names)
+    return wide.select("study", "sample_id", *[F.round(c, 6).alias(c.lower()) for c in names])
 
 
 def _response(spark, sf):
-    return r6(ft.join_response(light_scores(spark, sf), gated(spark, sf)), "score")
+    return r6(ft.join_response(all_scores(spark, sf), gated(spark, sf)), "score")
 
 
 def gene_scores(spark, sf, share=0.22):
@@ -49,8 +50,8 @@ def _audit(spark, sf):
 
 def _vector(spark, sf):
     labels = gated(spark, sf).select("study", "sample_id", cl.encode_response().alias("label"))
-    rows = ft.features_vector(light_scores(spark, sf), labels)
-    text = F.array_join(F.transform("features", lambda v: F.format_string("%.5f", F.round(v, 5) + F.lit(0.0))), ",")
+    rows = ft.features_vector(all_scores(spark, sf), labels)
+    text = F.array_join(F.transform("features", lambda v: F.when(v.isNotNull(), F.format_string("%.5f", F.round(v, 5) + F.lit(0.0)))), ",")
     return rows.select("study", "sample_id", text.alias("features"), "label")
 
 
@@ -95,22 +96,20 @@ q.cte(
 QUERIES = {
     "select_signatures": (
         _select,
-        q.query("light", "SELECT study, sample_id, signature, round(score, 6) AS score FROM light WHERE signature <> 'S4'"),
+        q.query("scores", "SELECT study, sample_id, signature, round(score, 6) AS score FROM scores WHERE signature <> 'S4'"),
     ),
     "pivot_scores": (
         _pivot,
         q.query(
-            "light",
-            """SELECT study, sample_id, round(max(score) FILTER (signature = 'COX'), 6) AS cox,
-            round(max(score) FILTER (signature = 'IPS'), 6) AS ips, round(max(score) FILTER (signature = 'S3'), 6) AS s3
-            FROM light GROUP BY ALL""",
+            "scores",
+            f"SELECT study, sample_id, {each(NAMES, 'round({}, 6)')} FROM (SELECT study, sample_id, {wide_columns(NAMES)} FROM scores GROUP BY ALL)",
         ),
     ),
     "join_response": (
         _response,
         q.query(
-            "light gated",
-            "SELECT study, sample_id, signature, round(score, 6) AS score, response FROM light JOIN gated USING (study, sample_id)",
+            "scores gated",
+            "SELECT study, sample_id, signature, round(score, 6) AS score, response FROM scores JOIN gated USING (study, sample_id)",
         ),
     ),
     "common_features": (_common, q.query("common", "SELECT * FROM common")),
@@ -132,10 +131,10 @@ QUERIES = {
     "features_vector": (
         _vector,
         q.query(
-            "light gated",
+            "scores gated",
             """SELECT study, sample_id, string_agg(printf('%.5f', round(score, 5) + 0.0::DOUBLE), ',' ORDER BY signature) AS features,
             CASE response WHEN 'R' THEN 0 WHEN 'NR' THEN 1 END AS label
-            FROM light JOIN gated USING (study, sample_id) GROUP BY study, sample_id, response""",
+            FROM scores JOIN gated USING (study, sample_id) GROUP BY study, sample_id, response""",
         ),
     ),
     "feature_gap": (
