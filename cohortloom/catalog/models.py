@@ -174,7 +174,8 @@ def _stumps(spark, sf):
 
 
 def _counts(spark, sf):
-    return fo.model_tree_counts(_stumps(spark, sf)[1])
+    model, tree_node = mo.import_tree_model(spark, _round_trip(spark, sf))
+    return fo.model_tree_counts(tree_node, model)
 
 
 def _merge(spark, sf):
@@ -212,10 +213,16 @@ def _predict_global(spark, sf):
 
 
 def _model_summary(spark, sf):
+    """Read off documents: of every study, trained at a setting of its own, and of their merged model."""
     model, tree_node = _stumps(spark, sf)
-    settings = bo.param_grid(model.select("study")).filter("config_id = 1")
-    params = settings.select(F.col("study").alias("model_id"), "eta", "colsample", "subsample")
-    return fo.model_summary(model, tree_node, params)
+    settings = bo.param_grid(model.select("study")).filter(F.col("config_id") == F.expr("1 + 500 * cast(substring(study, 2) as int)"))
+    known = mo.with_settings(attach(model.drop("config_id"), settings, ["study"]), bo.L2, 0.0, "hist")
+    path, merged_path = scratch_path(spark, "json"), scratch_path(spark, "merged-json")
+    mo.export_tree_model(known, tree_node, path)
+    local, nodes = mo.import_tree_model(spark, path)
+    mo.export_tree_model(fo.global_header(local), fo.merge_trees(local, nodes), merged_path)
+    whole, merged = mo.import_tree_model(spark, merged_path)
+    return fo.model_summary(local, nodes).unionByName(fo.model_summary(whole, merged))
 
 
 def _round_trip(spark, sf):
@@ -303,6 +310,7 @@ def grid_text(study_source: str, grid: dict) -> str:
 
 
 q.cte("grid", "vec", grid_text("vec", TRAINED_GRID))
+q.cte("full_grid", "vec", grid_text("vec", bo.GRID))
 q.cte(
     "settings",
     "grid",
@@ -575,10 +583,14 @@ QUERIES = {
     "model_summary": (
         _model_summary,
         q.query(
-            "stump",
-            """SELECT model_id, count(DISTINCT tree_id) AS num_trees, 1 AS num_parallel_tree, 2 AS max_depth, 0.01::DOUBLE AS eta, 0.6::DOUBLE AS colsample,
-            0.6::DOUBLE AS subsample, 1.0::DOUBLE AS reg_lambda, 0.0::DOUBLE AS reg_alpha, 'hist' AS tree_method, count(DISTINCT feature) AS num_features
-            FROM stump GROUP BY model_id""",
+            "stump full_grid",
+            """SELECT s.model_id, count(DISTINCT s.tree_id) AS num_trees, CAST(1 AS INTEGER) AS num_parallel_tree, any_value(g.max_depth) AS max_depth,
+            any_value(eta) AS eta, any_value(colsample) AS colsample, any_value(subsample) AS subsample, 1.0::DOUBLE AS reg_lambda, 0.0::DOUBLE AS reg_alpha,
+            'hist' AS tree_method, (SELECT count(DISTINCT feature) FROM stump) AS num_features
+            FROM stump s JOIN full_grid g ON g.study = s.model_id AND g.config_id = 1 + 500 * CAST(substr(s.model_id, 2) AS INTEGER) GROUP BY s.model_id
+            UNION ALL SELECT 'global', (SELECT count(*) FROM (SELECT DISTINCT model_id, tree_id FROM stump)), 1, max_depth, eta, colsample, subsample, 1.0, 0.0, 'hist',
+            (SELECT count(DISTINCT feature) FROM stump) FROM full_grid WHERE study = (SELECT min(model_id) FROM stump)
+             AND config_id = 1 + 500 * CAST(substr(study, 2) AS INTEGER)""",
         ),
     ),
     "import_tree_model": (_import, q.query("stump", _TREE_SQL, _PLACES)),

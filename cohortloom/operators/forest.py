@@ -111,32 +111,40 @@ def global_header(model: DataFrame, model_id: str = "global", combine: str = "su
     )
 
 
-def model_summary(model: DataFrame, tree_node: DataFrame, params: DataFrame) -> DataFrame:
-    """``params``: model_id, eta, colsample, subsample."""
+def model_summary(model: DataFrame, tree_node: DataFrame) -> DataFrame:
+    """What a model's document states of it, NULL where it says nothing, and the counts of its trees.
+
+    ``model`` comes from documents (see ``sources.models``). ``max_depth`` is the stated one, else the depth of the
+    deepest tree; ``num_features`` the stated number, else the features that trees split on.
+    """
     seen = tree_node.groupBy("model_id").agg(
         F.count_distinct("tree_id").alias("num_trees"),
-        F.count_distinct("feature").alias("num_features"),
+        F.count_distinct("feature").alias("_features"),
     )
-    depths = linked_trees(tree_node).groupBy("model_id").agg(F.max(tree_depth()).alias("max_depth"))
-    seen = attach(seen, depths, ["model_id"])
-    return attach(attach(model.select("model_id"), seen, ["model_id"]), params, ["model_id"], "left").select(
+    depths = linked_trees(tree_node).groupBy("model_id").agg(F.max(tree_depth()).alias("_depth"))
+    rows = attach(model, attach(seen, depths, ["model_id"]), ["model_id"])
+
+    def stated(fields: str, name: str, item: str, kind: str) -> Column:
+        if fields not in model.columns:
+            return F.lit(None).cast(kind)
+        return F.variant_get(F.col(fields)[name], f"$.{item}", "string").cast(kind)
+
+    tree = lambda item, kind="double": stated("booster_fields", "tree_train_param", item, kind)
+    return rows.select(
         "model_id",
         "num_trees",
-        F.lit(1).alias("num_parallel_tree"),
-        "max_depth",
-        "eta",
-        "colsample",
-        "subsample",
-        F.lit(1.0).alias("reg_lambda"),
-        F.lit(0.0).alias("reg_alpha"),
-        F.lit("hist").alias("tree_method"),
-        "num_features",
+        stated("model_fields", "gbtree_model_param", "num_parallel_tree", "int").alias("num_parallel_tree"),
+        F.coalesce(tree("max_depth", "int"), "_depth").alias("max_depth"),
+        tree("eta").alias("eta"),
+        tree("colsample_bytree").alias("colsample"),
+        tree("subsample").alias("subsample"),
+        tree("lambda").alias("reg_lambda"),
+        tree("alpha").alias("reg_alpha"),
+        stated("booster_fields", "gbtree_train_param", "tree_method", "string").alias("tree_method"),
+        F.coalesce(stated("learner_fields", "learner_model_param", "num_feature", "bigint"), "_features").alias("num_features"),
     )
 
 
-# ---- prediction -----------------------------------------------------------------
-
-
 def feature_catalog(tree_node: DataFrame) -> DataFrame:
     """One row: every feature any tree splits on, in name order."""
     return tree_node.agg(F.sort_array(F.collect_set("feature")).alias("features"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -26,6 +26,68 @@ DOCUMENT_SCHEMA = (
     f"trees: ARRAY<STRUCT<{TREE_SCHEMA.replace(' INT', ': INT').replace('tree_param STRUCT', 'tree_param: STRUCT').replace(' ARRAY<', ': ARRAY<')}>>, "
     "tree_info: ARRAY<INT>, iteration_indptr: ARRAY<INT>>>>"
 )
+#: All fields of a document beside its trees, as the reader finds them: known ones are rebuilt, others pass through.
+HEAD_SCHEMA = "learner MAP<STRING, VARIANT>, version VARIANT"
+FIELDS = "MAP<STRING, VARIANT>"
+REBUILT = {
+    "learner": ["feature_names", "learner_model_param", "gradient_booster"],
+    "booster": ["model"],
+    "model": ["gbtree_model_param", "trees", "tree_info", "iteration_indptr"],
+}
+
+
+# ---- the head of a document --------------------------------------------------------
+
+
+def head_columns(text: str) -> list[Column]:
+    """``learner_fields``, ``booster_fields``, ``model_fields`` (maps of VARIANT), ``version`` and ``feature_names`` of a document."""
+    d = F.from_json(text, HEAD_SCHEMA)
+    inner = lambda fields, name: F.variant_get(fields[name], "$", FIELDS)
+    learner = d["learner"]
+    booster = inner(learner, "gradient_booster")
+    but = lambda fields, *names: F.map_filter(fields, lambda k, _: ~k.isin(*names))
+    return [
+        but(learner, "feature_names", "gradient_booster").alias("learner_fields"),
+        but(booster, "model").alias("booster_fields"),
+        but(inner(booster, "model"), "trees", "tree_info", "iteration_indptr").alias("model_fields"),
+        d["version"].alias("version"),
+    ]
+
+
+def with_settings(model: DataFrame, reg_lambda: float, reg_alpha: float, tree_method: str) -> DataFrame:
+    """Adds ``booster_fields`` for models of this library's trainer, from their columns ``eta``, ``max_depth``, ``colsample``
+    and ``subsample`` and what holds for every run."""
+    text = lambda c: (F.col(c) if isinstance(c, str) else F.lit(c)).cast("string")
+    names = {"eta": "eta", "max_depth": "max_depth", "colsample_bytree": "colsample", "subsample": "subsample",
+             "lambda": reg_lambda, "alpha": reg_alpha}
+    tree = F.struct(*[text(c).alias(n) for n, c in names.items()])
+    method = F.struct(F.lit(tree_method).alias("tree_method"))
+    value = lambda c: F.parse_json(F.to_json(c))
+    return model.withColumn(
+        "booster_fields",
+        F.create_map(
+            F.lit("name"), F.parse_json(F.lit('"gbtree"')), F.lit("tree_train_param"), value(tree), F.lit("gbtree_train_param"), value(method)
+        ),
+    )
+
+
+def _fields(model: DataFrame, kind: str, default: str) -> Column:
+    """Fields that pass through, as JSON text with a comma behind each."""
+    if f"{kind}_fields" not in model.columns:
+        return F.lit(default)
+    kept = F.map_filter(f"{kind}_fields", lambda k, _: ~k.isin(*REBUILT[kind]))
+    inside = F.regexp_replace(F.to_json(kept), r"^\{|\}$", "")
+    return F.coalesce(F.when(inside != "", F.concat(inside, F.lit(","))).otherwise(F.lit("")), F.lit(default))
+
+
+def _parameters(model: DataFrame, kind: str, name: str, **rebuilt: Column) -> Column:
+    """An object of text parameters: those of the document, the rebuilt ones anew."""
+    entries = F.create_map(*[x for k, v in rebuilt.items() for x in (F.lit(k), v)])
+    if f"{kind}_fields" in model.columns:
+        stated = F.variant_get(F.col(f"{kind}_fields")[name], "$", "MAP<STRING, STRING>")
+        rest = F.map_filter(stated, lambda k, _: ~k.isin(*rebuilt))
+        entries = F.map_concat(F.coalesce(rest, F.create_map().cast("map<string,string>")), entries)
+    return F.to_json(entries)
 
 
 def packed_trees(tree_node: DataFrame) -> DataFrame:
@@ -76,23 +138,31 @@ def document_lines(model: DataFrame, tree_node: DataFrame) -> DataFrame:
     )
     names = feature_catalog(tree_node).scalar()
     n = F.col("n_trees").cast("string")
+    parallel = F.col("num_parallel_tree").cast("string") if "num_parallel_tree" in model.columns else F.lit("1")
+    base, size = sigmoid(F.col("base_margin")).cast("string"), F.size(names).cast("string")
     learner = F.concat(
         F.lit('{"learner":{"feature_names":'),
         F.to_json(names),
-        F.lit(',"learner_model_param":{"base_score":"'),
-        sigmoid(F.col("base_margin")).cast("string"),
-        F.lit('","num_feature":"'),
-        F.size(names).cast("string"),
-        F.lit('"},"objective":{"name":"binary:logistic"},"gradient_booster":{"name":"gbtree","model":{"gbtree_model_param":{"num_trees":"'),
-        n,
-        F.lit('","num_parallel_tree":"1"},"trees":['),
+        F.lit(',"learner_model_param":'),
+        _parameters(model, "learner", "learner_model_param", base_score=base, num_feature=size),
+        F.lit(","),
+        _fields(model, "learner", '"objective":{"name":"binary:logistic"},'),
+        F.lit('"gradient_booster":{'),
+        _fields(model, "booster", '"name":"gbtree",'),
+        F.lit('"model":{'),
+        _fields(model, "model", ""),
+        F.lit('"gbtree_model_param":'),
+        _parameters(model, "model", "gbtree_model_param", num_trees=n, num_parallel_tree=F.coalesce(parallel, F.lit("1"))),
+        F.lit(',"trees":['),
     )
     tail = F.concat(
         F.lit('],"tree_info":'),
         F.to_json(F.array_repeat(F.lit(0), F.col("n_trees"))),
         F.lit(',"iteration_indptr":'),
         F.to_json(F.sequence(F.lit(0), F.col("n_trees"))),
-        F.lit("}}},\"version\":[1,0,0]}"),
+        F.lit("}}},\"version\":"),
+        F.coalesce(F.to_json("version"), F.lit("[1,0,0]")) if "version" in model.columns else F.lit("[1,0,0]"),
+        F.lit("}"),
     )
     ends = model.select(
         "model_id",
@@ -161,12 +231,16 @@ def _model_id():
 
 
 def import_tree_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(model, tree_node) of all JSON documents below ``path``, one document per file."""
+    """(model, tree_node) of all JSON documents below ``path``, one document per file.
+
+    ``model`` keeps every field of a document: its full ``feature_names`` and, as VARIANT, all that is not rebuilt from
+    the trees. Merging carries them on and export writes them again.
+    """
     raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    parsed = raw.select(_model_id().alias("model_id"), F.from_json("value", DOCUMENT_SCHEMA).alias("d"))
+    parsed = raw.select(_model_id().alias("model_id"), F.from_json("value", DOCUMENT_SCHEMA).alias("d"), "value")
     readable = F.col("d.learner.gradient_booster.model.trees").isNotNull()
     fail = F.raise_error(F.concat(F.lit("no tree model in document "), F.col("model_id")))
-    parsed = parsed.select(F.when(readable, F.col("model_id")).otherwise(fail.cast("string")).alias("model_id"), "d")
+    parsed = parsed.select(F.when(readable, F.col("model_id")).otherwise(fail.cast("string")).alias("model_id"), "d", "value")
     booster = "d.learner.gradient_booster.model"
     # newer documents put the value in brackets
     base = F.regexp_replace("d.learner.learner_model_param.base_score", r"[\[\]]", "").cast("double")
@@ -176,6 +250,8 @@ def import_tree_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
         F.log(base / (F.lit(1.0) - base)).alias("base_margin"),
         F.col(f"{booster}.gbtree_model_param.num_trees").cast("int").alias("n_trees"),
         F.col(f"{booster}.gbtree_model_param.num_parallel_tree").cast("int").alias("num_parallel_tree"),
+        F.col("d.learner.feature_names").alias("feature_names"),
+        *head_columns("value"),
     )
     trees = parsed.select(
         "model_id", F.col("d.learner.feature_names").alias("names"), F.explode(f"{booster}.trees").alias("tree")

@@ -148,8 +148,8 @@ def test_deep_trees_in_documents_of_any_layout(spark, tmp_path, indent):
     got = fo.predict_trees(fo.sample_vectors(scores, nodes), nodes, model).collect()
     # a value goes left at the first cut above it; an absent one follows the default, right
     assert {r.sample_id: r.margin for r in got} == {"low": 1.0 + 1.0, "mid": 43.0 + 4.0, "high": 80.0 + 4.0, "none": 80.0 + 4.0}
-    params = spark.createDataFrame([("deep", 0.1, 0.5, 0.5)], "model_id string, eta double, colsample double, subsample double")
-    assert fo.model_summary(model, nodes, params).first().max_depth == 40
+    row = fo.model_summary(model, nodes).first()
+    assert row.max_depth == 40 and row.eta is None and row.tree_method is None
 
 
 def test_documents_without_names_and_with_deleted_nodes(spark, tmp_path):
@@ -173,6 +173,33 @@ def test_documents_that_are_no_tree_models_fail(spark, tmp_path):
         mo.import_tree_lines(spark, str(tmp_path)).collect()
 
 
+def test_unknown_fields_pass_through_import_merge_and_export(spark, tmp_path):
+    for i, name in enumerate(("a", "b")):
+        made = document([chain(2)])
+        made["version"] = [3, 1, 4]
+        made["learner"]["attributes"] = {"best_iteration": str(i), "note": 'a "quoted" {note}'}
+        made["learner"]["learner_model_param"]["num_target"] = "1"
+        made["learner"]["gradient_booster"]["tree_train_param"] = {"eta": f"0.{i + 1}", "lambda": "2", "alpha": "0.5", "max_depth": "7"}
+        made["learner"]["gradient_booster"]["gbtree_train_param"] = {"tree_method": "approx"}
+        made["learner"]["gradient_booster"]["model"]["gbtree_model_param"]["num_parallel_tree"] = "3"
+        made["learner"]["gradient_booster"]["model"]["cats"] = {"enc": [1, 2]}
+        (tmp_path / f"{name}.json").write_text(json.dumps(made))
+    local, nodes = mo.import_tree_model(spark, str(tmp_path))
+    summary = {r.model_id: r for r in fo.model_summary(local, nodes).collect()}
+    assert [(summary[m].eta, summary[m].reg_lambda, summary[m].reg_alpha, summary[m].max_depth) for m in "ab"] == [(0.1, 2.0, 0.5, 7), (0.2, 2.0, 0.5, 7)]
+    assert summary["a"].tree_method == "approx" and summary["a"].num_parallel_tree == 3
+    out = str(tmp_path / "global")
+    mo.export_tree_model(fo.global_header(local), fo.merge_trees(local, nodes), out)
+    text = "".join(r.value for r in spark.read.option("recursiveFileLookup", "true").text(out, wholetext=True).collect())
+    made = json.loads(text)
+    learner = made["learner"]
+    booster = learner["gradient_booster"]
+    assert made["version"] == [3, 1, 4] and learner["attributes"] == {"best_iteration": "0", "note": 'a "quoted" {note}'}
+    assert learner["learner_model_param"]["num_target"] == "1" and booster["tree_train_param"]["eta"] == "0.1"
+    assert booster["model"]["cats"] == {"enc": [1, 2]} and booster["model"]["gbtree_model_param"] == {"num_trees": "2", "num_parallel_tree": "3"}
+    assert [t["id"] for t in booster["model"]["trees"]] == [0, 1] and booster["model"]["tree_info"] == [0, 0]
+
+
 def test_documents_merge_and_predict(spark, toys, tmp_path):
     mo.export_tree_model(*toys, str(tmp_path / "local"))
     local, nodes = mo.import_tree_model(spark, str(tmp_path / "local"))
