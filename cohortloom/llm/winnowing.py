@@ -98,7 +98,7 @@ def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
 def with_next(docs: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Rows (``doc_id``, ``text``) with the struct ``next`` of the row that follows by doc_id, the first after the last.
 
-    Nulls come last and equal doc_ids go by a hash of their text. Rows are ranged into parts by a quantile sketch
+    Nulls come last, spread over parts of their own, and equal doc_ids go by a hash of their text. Rows are ranged into parts by a quantile sketch
     of the doc_ids (as many numbers as there are shuffle partitions come to the driver); each part also gets a copy
     of the first row of the part after it, so a window inside the part sees every successor. ``make`` adds columns
     after the rows have been dealt out.
@@ -109,7 +109,12 @@ def with_next(docs: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFr
     shares = F.array(*[F.lit(i / parts) for i in range(1, parts)]) if parts > 1 else F.array(F.lit(0.5))
     edges = docs.agg(F.percentile_approx("doc_id", shares, F.lit(10 * parts)).alias("e")).first()["e"] or []
     edge = F.array(*[F.lit(e).cast("bigint") for e in sorted(set(edges))]) if edges else F.array().cast("array<bigint>")
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(edges))).otherwise(F.size(F.filter(edge, lambda e: e < F.col("doc_id"))))
+    # rows without a doc_id, however many, are ranged by their hash
+    bits = parts.bit_length() - 1
+    hashed = F.shiftright("_tie", 64 - bits) + (1 << bits - 1) if bits else F.lit(0)
+    part = F.when(F.col("doc_id").isNull(), F.lit(len(edges) + 1) + hashed.cast("int")).otherwise(
+        F.size(F.filter(edge, lambda e: e < F.col("doc_id")))
+    )
     order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", F.col("_tie").alias("tie"))
     firsts = rows.groupBy(part.alias("part")).agg(F.min(order).alias("first")).orderBy("part").collect()
     before = [(firsts[i - 1]["part"], f["part"], f["first"]["doc_id"], f["first"]["tie"]) for i, f in enumerate(firsts)]
@@ -128,7 +133,7 @@ def with_next(docs: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFr
     dealt = held.select("doc_id", "text", "_tie", F.explode(places).alias("_at")).select(
         "doc_id", "text", "_tie", F.col("_at.part").alias("_part"), F.col("_at.copy").alias("_copy")
     )
-    made = make(dealt.repartition(parts, "_part"))
+    made = make(dealt.repartitionById(len(edges) + 1 + (1 << bits), "_part"))  # a task for each part
     follow = Window.partitionBy("_part").orderBy("_copy", F.col("doc_id").asc_nulls_last(), "_tie")
     extra = [c for c in made.columns if c not in dealt.columns]
     return (

@@ -1,8 +1,10 @@
+import collections
 import hashlib
 import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from cohortloom.llm import winnowing as wn
 
@@ -66,3 +68,13 @@ def test_positions_and_guarantee(frame, documents, k, w):
         assert [(m.hash, m.position) for m in r.marks] == marks(texts[r.doc_id], k, w)
         gaps = [b.position - a.position for a, b in zip(r.marks, r.marks[1:])]
         assert all(g <= w for g in gaps)
+
+
+def test_rows_without_a_doc_id_are_spread(spark, frame):
+    """Half of the rows have no doc_id: no task gets more than a few times its share of them."""
+    rows = [(i if i % 2 else None, f"text number {i} of some length", None, None) for i in range(800)]
+    parts = wn.shuffle_width(spark)
+    held = wn.with_next(frame(rows).select("doc_id", "text"), lambda df: df.withColumn("task", F.spark_partition_id()))
+    sizes = collections.Counter(r.task for r in held.filter("doc_id IS NULL").select("task").collect())
+    assert len(sizes) == 1 << parts.bit_length() - 1 and max(sizes.values()) < 2 * 400 / len(sizes)
+    assert held.filter("next IS NULL").count() <= 1 and held.count() == 800
