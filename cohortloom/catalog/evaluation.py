@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import literal_rows, sigmoid
 from ..operators import bootstrap as bs
 from ..operators import clinical as cl
+from ..operators import features as ft
 from ..operators import forest as fo
 from ..operators import logit as lo
 from ..operators import roc
@@ -108,9 +109,8 @@ def _local_models(spark, sf):
     """Lacking features count as 0, as the aligned matrix would have it."""
     model, tree_node = d.stump_models(spark, sf)
     tree_node = keep(tree_node)
-    vectors = fo.sample_vectors(vec_scores(spark, sf), tree_node).withColumn(
-        "x", F.transform("x", lambda v: F.coalesce(v, F.lit(0.0)))
-    )
+    scores = keep(vec_scores(spark, sf))
+    vectors = ft.fill_absent(fo.sample_vectors(scores, tree_node), scores, fo.feature_catalog(tree_node))
     return margins_and_scores(fo.predict_trees(vectors, tree_node, model))
 
 

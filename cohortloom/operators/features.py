@@ -77,12 +77,13 @@ def feature_gap(model_feature: DataFrame, study_feature: DataFrame) -> DataFrame
 
 
 def align_features(scores: DataFrame, model_feature: DataFrame) -> DataFrame:
-    """Every sample laid out on each model's feature list: absent features are 0,
-    features the model does not know are dropped.
+    """Every sample laid out on each model's feature list: features its study lacks are 0,
+    values it lacks stay NULL, features the model does not know are dropped.
 
     A sample's scores are gathered in one map (bounded by the feature list) and
-    read off along the model's list.
+    read off along the model's list. A feature is absent if no row of the study has it.
     """
+    having = study_features(scores)
     lists = model_feature.groupBy("model_id").agg(F.sort_array(F.collect_set("feature")).alias("list"))
     models = lists.agg(F.sort_array(F.collect_set("model_id")).alias("ids"))
     gathered = scores.groupBy(*SAMPLE).agg(
@@ -91,8 +92,26 @@ def align_features(scores: DataFrame, model_feature: DataFrame) -> DataFrame:
     rows = gathered.withColumn("_ids", models.scalar()).select(
         *SAMPLE, "_scores", F.explode("_ids").alias("model_id")
     )
+    here = F.array_contains("_having", F.col("feature"))
+    value = F.when(here, F.col("_scores")[F.col("feature")]).otherwise(F.lit(0.0))
     return (
-        attach(rows, lists, ["model_id"], max_rows=20_000)
-        .select(*SAMPLE, "_scores", "model_id", F.explode("list").alias("feature"))
-        .select(*SAMPLE, "model_id", "feature", F.coalesce(F.col("_scores")[F.col("feature")], F.lit(0.0)).alias("value"))
+        attach(attach(rows, lists, ["model_id"], max_rows=20_000), having, ["study"], max_rows=20_000)
+        .select(*SAMPLE, "_scores", "_having", "model_id", F.explode("list").alias("feature"))
+        .select(*SAMPLE, "model_id", "feature", value.alias("value"))
     )
+
+
+def study_features(scores: DataFrame) -> DataFrame:
+    """The features that a study has rows of: one list of names per study."""
+    return keep(scores.groupBy("study").agg(F.array_sort(F.collect_set("signature")).alias("_having")))
+
+
+def fill_absent(vectors: DataFrame, scores: DataFrame, features: DataFrame, fill: float = 0.0) -> DataFrame:
+    """``x`` with ``fill`` in the places of features that the sample's study lacks; a missing value stays NULL.
+
+    ``x`` runs along the list of the one row of ``features``; a bitmap of that list per study tells which are present.
+    """
+    lists = study_features(scores).withColumn("_all", features.select("features").scalar())
+    present = lists.select("study", F.transform("_all", lambda f: F.array_contains("_having", f)).alias("_present"))
+    filled = F.zip_with("x", "_present", lambda v, here: F.when(here, v).otherwise(F.coalesce(v, F.lit(fill))))
+    return attach(vectors, present, ["study"], "left", max_rows=20_000).withColumn("x", filled).drop("_present")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bootstrap as bs
 from ..operators import clinical as cl
+from ..operators import features as ft
 from ..operators import forest as fo
 from ..operators import logit as lo
 from ..operators import roc
@@ -25,7 +26,8 @@ def predictions(
 ) -> DataFrame:
     """Local, global and single-signature predictions of labelled samples.
 
-    Features a model expects and a study lacks are ``fill``.
+    Features a model expects and a study lacks are ``fill``; a value missing in a sample
+    stays missing and takes the default side of every split.
     """
     labels = keep(
         cl.drop_missing_response(clinical.select("study", "sample_id", "response")).select(
@@ -36,7 +38,7 @@ def predictions(
     columns = ["model_id", "tree_id", "node_id", "feature", "threshold", "left", "right", "default_left", "leaf_value"]
     nodes = keep(tree_node.select(*columns).unionByName(merged.select(*columns)))
     heads = model.select("model_id", "base_margin").unionByName(header.select("model_id", "base_margin"))
-    vectors = fo.sample_vectors(scores, nodes).withColumn("x", F.transform("x", lambda v: F.coalesce(v, F.lit(fill))))
+    vectors = ft.fill_absent(fo.sample_vectors(scores, nodes), scores, fo.feature_catalog(nodes), fill)
     trees = fo.predict_trees(vectors, nodes, heads).select("study", "sample_id", "model_id", "score")
     single = scores.filter(F.col("signature") == signature).select(
         "study", "sample_id", F.lit(SIGNATURE).alias("model_id"), "score"

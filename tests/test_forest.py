@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.operators import clinical as cl
+from cohortloom.operators import features as ft
 from cohortloom.operators import forest as fo
 from cohortloom.sources import cohorts as co
 from cohortloom.sources import models as mo
@@ -241,3 +242,15 @@ def test_cohort_names(spark):
     assert [(r.study, r.cancer, r.treatment) for r in got] == [
         ("ICB_Gide", "Melanoma", "PD-(L)1"), ("S2", "Lung", "IO+combo"), ("only", None, None)
     ]
+
+
+def test_absent_features_are_filled_and_missing_values_stay(spark):
+    rows = [("v", "p", "x", None), ("v", "q", "x", 1.0), ("w", "r", "y", 2.0)]
+    scores = spark.createDataFrame(rows, "study string, sample_id string, signature string, score double")
+    listed = spark.createDataFrame([("m", "x"), ("m", "y")], "model_id string, feature string")
+    got = {(r.sample_id, r.feature): r.value for r in ft.align_features(scores, listed).collect()}
+    assert got == {("p", "x"): None, ("p", "y"): 0.0, ("q", "x"): 1.0, ("q", "y"): 0.0, ("r", "x"): 0.0, ("r", "y"): 2.0}
+    features = spark.createDataFrame([(["x", "y"],)], "features array<string>")
+    vectors = spark.createDataFrame([("v", "p", [None, None]), ("w", "r", [None, 2.0])], "study string, sample_id string, x array<double>")
+    filled = {r.sample_id: r.x for r in ft.fill_absent(vectors, scores, features, 9.0).collect()}
+    assert filled == {"p": [None, 9.0], "r": [9.0, 2.0]}
