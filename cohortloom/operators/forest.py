@@ -37,7 +37,9 @@ def linked_trees(tree_node: DataFrame) -> DataFrame:
     listed = F.sort_array(
         F.collect_list(F.struct("node_id", "_at", "threshold", "left", "right", "default_left", "leaf_value"))
     )
-    position = lambda i: (F.array_position("_nodes.node_id", i) - 1).cast("int")
+    # nodes of documents are numbered without gaps: their number is their place; others are looked for
+    dense = F.element_at("_nodes.node_id", -1) == F.size("_nodes") - 1
+    position = lambda i: F.when(dense, i).otherwise(F.array_position("_nodes.node_id", i) - 1).cast("int")
     linked = F.transform(
         "_nodes",
         lambda n: F.struct(
