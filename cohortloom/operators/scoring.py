@@ -8,11 +8,14 @@ everything per study or per gene of a study goes through aggregates.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import is_zero, normal_cdf, normal_pdf, round9
-from .scale import attach, cumulative, keep
+from .scale import MAX_BROADCAST_ROWS, attach, cumulative, keep
 
 MISSING_SHARE = 0.5
 CONST = 0.001
@@ -113,14 +116,18 @@ def value_shares(expression: DataFrame) -> DataFrame:
     """Adds ``f``: the share of the study's samples at or below the gene's value.
 
     Distinct values are counted first; their cumulative counts are built per
-    value range, so a gene of a very large study is not one task.
+    value range, so a gene of a very large study is not one task. Few shares are
+    broadcast and the cells stay where they are.
     """
     keys = ["study", "gene_id"]
     counts = expression.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
     shares = cumulative(counts, keys, "value", ["n"], buckets=32).select(
         *keys, "value", round9((F.col("before_n") + F.col("n")) / F.col("total_n")).alias("f")
     )
-    return expression.join(shares, [*keys, "value"])
+    shares = keep(shares)
+    few = shares.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+    # cells compress so well that the planner would take their file for the smaller side
+    return expression.join(F.broadcast(shares) if few else shares.hint("merge"), [*keys, "value"])
 
 
 KERNEL_TERMS = 16
@@ -180,14 +187,97 @@ def kernel_shares(expression: DataFrame) -> DataFrame:
     )
 
 
-def sample_ranks(expression: DataFrame, by: str = "value") -> DataFrame:
-    """Adds ``pos`` (1 = highest, ties by gene) and ``p`` (genes of the sample)."""
-    sample = Window.partitionBy("study", "sample_id")
-    return expression.withColumn("pos", F.row_number().over(sample.orderBy(F.desc(by), "gene_id"))).withColumn(
-        "p", F.count(F.lit(1)).over(sample)
+def walk_sets(expression: DataFrame, sets: DataFrame, by: str, score) -> DataFrame:
+    """``score`` of every sample and set that share a gene: (study, sample_id, signature, sub_signature, score).
+
+    Genes of a sample are ranked by ``by`` from the highest, ties by name. Each cell carries the numbers of the sets its
+    gene is in, so cells are dealt out by sample and sorted once, and arrays do the rest: ``score(pos, p, starts)`` takes
+    the members' positions, set by set in ascending order, the size of the sample and where each set starts. A task holds
+    an Arrow batch and the sample that runs on into the next.
+    """
+    names = sets.select(*SET).distinct()
+    names = keep(names.withColumn("_set", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*SET))))
+    ids = F.broadcast(names.select(*[F.col(c).alias(f"_{c}") for c in SET], "_set"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in SET]
+    on = ["study", "gene_id"] if "study" in sets.columns else ["gene_id"]
+    member = sets.join(ids, same[0] & same[1]).groupBy(*on).agg(F.collect_list("_set").alias("_sets"))
+    cells = attach(expression.select(*CELL, by), member, on, "left").repartition("study", "sample_id")
+    # sample first: nearly every comparison ends at the first bytes of its name
+    ordered = cells.sortWithinPartitions("sample_id", "study", F.desc(by), "gene_id").select("study", "sample_id", "_sets")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields[:2])
+
+    def work(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            held = held.combine_chunks()
+            firsts = _sample_starts(held)
+            yield from _set_scores(held.slice(0, firsts[-1]), firsts[:-1], score)
+            held = held.slice(firsts[-1])
+        if held is not None:
+            yield from _set_scores(held, np.zeros(1, np.int64), score)
+
+    scored = ordered.mapInArrow(work, f"{kinds}, _set int, score double")
+    return scored.join(F.broadcast(names), "_set").select(*SCORED, "score")
+
+
+def _sample_starts(cells: pa.Table) -> np.ndarray:
+    """Rows at which another sample begins."""
+    new = np.zeros(cells.num_rows, bool)
+    new[0] = True
+    for name in ("study", "sample_id"):
+        column = cells.column(name)
+        here, last = column.slice(1), column.slice(0, cells.num_rows - 1)
+        differs = pc.fill_null(pc.not_equal(here, last), False).to_numpy()
+        new[1:] |= differs | (here.is_null().to_numpy() != last.is_null().to_numpy())
+    return np.flatnonzero(new)
+
+
+def _set_scores(cells: pa.Table, firsts: np.ndarray, score):
+    """Scores of whole samples that begin at rows ``firsts`` and are sorted from the highest gene."""
+    if not cells.num_rows:
+        return
+    sizes = np.diff(np.append(firsts, cells.num_rows))
+    sample = np.repeat(np.arange(len(firsts)), sizes)
+    lists = cells.column("_sets").combine_chunks()
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(cells.num_rows), lengths)
+    number = lists.flatten().to_numpy(zero_copy_only=False)
+    if not len(row):
+        return
+    order = np.lexsort((row, number, sample[row]))
+    row, number = row[order], number[order]
+    at = sample[row]
+    starts = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (number[1:] != number[:-1])))
+    of = at[starts]
+    values = score(row - firsts[at] + 1, sizes[of], starts)
+    found = ~np.isnan(values)
+    where = pa.array(firsts[of][found])
+    yield pa.RecordBatch.from_arrays(
+        [cells.column(c).combine_chunks().take(where) for c in ("study", "sample_id")]
+        + [pa.array(number[starts][found].astype(np.int32)), pa.array(values[found])],
+        names=["study", "sample_id", "_set", "score"],
     )
 
 
+def _deviation(pos: np.ndarray, p: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Greatest plus least deviation of the GSVA walk; NaN where it has no steps. Weights are halves: sums are exact."""
+    m = np.diff(np.append(starts, len(pos)))
+    each = np.repeat(np.arange(len(starts)), m)
+    r = np.abs(p[each] / 2.0 - pos)
+    run = np.cumsum(r)
+    cum = run - np.repeat(run[starts] - r[starts], m)
+    total = np.add.reduceat(r, starts)
+    k = np.arange(len(pos)) - starts[each] + 1
+    with np.errstate(divide="ignore", invalid="ignore"):
+        missed = (pos - k) / (p - m)[each]
+        after = np.maximum.reduceat(cum / total[each] - missed, starts)
+        before = np.minimum.reduceat((cum - r) / total[each] - missed, starts)
+        return np.where((p > m) & (total > 0), np.maximum(after, 0.0) + np.minimum(before, 0.0), np.nan)
+
+
 def gsva(expression: DataFrame, sets: DataFrame, kcdf: str = "none") -> DataFrame:
     """GSVA score per sample and set: greatest plus least deviation of the walk.
 
@@ -195,28 +285,7 @@ def gsva(expression: DataFrame, sets: DataFrame, kcdf: str = "none") -> DataFram
     and just before each member; the other genes only count towards positions.
     """
     shares = {"none": value_shares, "gaussian": kernel_shares}[kcdf](expression)
-    ranked = sample_ranks(shares, "f").withColumn("r", F.abs(F.col("p") / F.lit(2.0) - F.col("pos")))
-    inside = members_of(ranked.select("study", "sample_id", "gene_id", "pos", "p", "r"), sets)
-    group = Window.partitionBy(*SCORED)
-    walk = group.orderBy("pos")
-    steps = inside.select(
-        *SCORED,
-        "p",
-        "pos",
-        "r",
-        F.row_number().over(walk).alias("k"),
-        F.sum("r").over(walk.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"),
-        F.sum("r").over(group).alias("all_r"),
-        F.count(F.lit(1)).over(group).alias("m"),
-    )
-    missed = (F.col("pos") - F.col("k")) / (F.col("p") - F.col("m"))
-    after = F.col("cum") / F.col("all_r") - missed
-    before = (F.col("cum") - F.col("r")) / F.col("all_r") - missed
-    return (
-        steps.filter((F.col("p") > F.col("m")) & (F.col("all_r") > 0))
-        .groupBy(*SCORED)
-        .agg((F.greatest(F.lit(0.0), F.max(after)) + F.least(F.lit(0.0), F.min(before))).alias("score"))
-    )
+    return walk_sets(shares, sets, "f", _deviation)
 
 
 def ssgsea(expression: DataFrame, sets: DataFrame, alpha: float = 0.25) -> DataFrame:
@@ -225,28 +294,16 @@ def ssgsea(expression: DataFrame, sets: DataFrame, alpha: float = 0.25) -> DataF
     Summing the walk over all positions weighs every gene by its rank from the
     bottom, so only member rows are aggregated; there is no running window.
     """
-    inside = members_of(sample_ranks(expression).select("study", "sample_id", "gene_id", "pos", "p"), sets)
-    rank = (F.col("p") - F.col("pos") + 1).cast("double")
-    weight = F.pow(rank, F.lit(alpha))
-    raw = (
-        inside.groupBy(*SCORED)
-        .agg(
-            F.sum(weight * rank).alias("hit"),
-            F.sum(weight).alias("weight"),
-            F.sum(rank).alias("ranks"),
-            F.count(F.lit(1)).alias("m"),
-            F.max("p").alias("p"),
-        )
-        .filter(F.col("p") > F.col("m"))
-        .select(
-            *SCORED,
-            (
-                F.col("hit") / F.col("weight")
-                - (F.col("p") * (F.col("p") + 1) / F.lit(2.0) - F.col("ranks")) / (F.col("p") - F.col("m"))
-            ).alias("raw"),
-        )
-    )
-    raw = keep(raw)
+
+    def raw_score(pos, p, starts):
+        m = np.diff(np.append(starts, len(pos)))
+        rank = np.repeat(p, m) - pos + 1.0
+        weight = rank**alpha
+        hit, all_weight, ranks = (np.add.reduceat(x, starts) for x in (weight * rank, weight, rank))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(p > m, hit / all_weight - (p * (p + 1) / 2.0 - ranks) / (p - m), np.nan)
+
+    raw = keep(walk_sets(expression, sets, "value", raw_score).withColumnRenamed("score", "raw"))
     span = raw.groupBy("study", *SET).agg((F.max("raw") - F.min("raw")).alias("span"))
     return attach(raw, span, ["study", *SET]).select(
         *SCORED, F.when(F.col("span") > 0, F.col("raw") / F.col("span")).alias("score")
@@ -288,7 +345,7 @@ def cox_is(expression: DataFrame, sets: DataFrame) -> DataFrame:
 
 def ips(expression: DataFrame, sets: DataFrame) -> DataFrame:
     """z within the sample, weighted mean per category, category sum on 0..10."""
-    sample = Window.partitionBy("study", "sample_id")
+    sample = Window.partitionBy("sample_id", "study")  # sorts compare the name with more values first
     sd = F.stddev_samp("value").over(sample)
     z = expression.select(
         *CELL, F.when(sd > 0, (F.col("value") - F.avg("value").over(sample)) / sd).alias("z")

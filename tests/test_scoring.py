@@ -95,3 +95,52 @@ def test_gate_borders_are_strict(spark):
     genes = spark.createDataFrame([("s", g) for g in "abcd"], "study string, gene_id string")
     assert sc.signature_coverage_gate(gene_set(spark, "abcde"), genes, 0.8).count() == 0
     assert sc.signature_coverage_gate(gene_set(spark, "abcde"), genes, 0.79).count() == 1
+
+
+def brute_walks(cells, sets):
+    """GSVA deviations and raw ssGSEA scores of one sample: ``cells`` are (gene, by), ``sets`` name -> genes."""
+    order = sorted(cells, key=lambda c: (-c[1], c[0]))
+    p, out = len(order), {}
+    for name, genes in sets.items():
+        pos = [i for i, (g, _) in enumerate(order, 1) for _ in range(genes.count(g))]
+        m, r = len(pos), [abs(p / 2 - i) for i in pos]
+        if not 0 < m < p:
+            continue
+        ups = [sum(r[: k + 1]) / sum(r) - (pos[k] - k - 1) / (p - m) for k in range(m)] if sum(r) else None
+        downs = [sum(r[:k]) / sum(r) - (pos[k] - k - 1) / (p - m) for k in range(m)] if sum(r) else None
+        rank = [p - i + 1 for i in pos]
+        raw = sum(x**1.25 for x in rank) / sum(x**0.25 for x in rank) - (p * (p + 1) / 2 - sum(rank)) / (p - m)
+        out[name] = (max(0, *ups) + min(0, *downs) if ups else None, raw)
+    return out
+
+
+def test_walks_over_arrow_batches_equal_each_sample_alone(spark):
+    """Samples run on from batch to batch, names repeat between studies, one is missing, one set lists a gene twice."""
+    rng = random.Random(8)
+    table = {(s, p): [(f"g{i}", float(rng.randrange(6))) for i in range(rng.randrange(3, 14))] for s in "ab" for p in ("p1", "p2", "p3", None)}
+    rows = [(s, p, g, v) for (s, p), cells in table.items() for g, v in cells]
+    e = spark.createDataFrame(rows, "study string, sample_id string, gene_id string, value double")
+    sets = {"S": ["g0", "g2", "g7"], "T": ["g1", "g1", "g2", "x"]}
+    members = spark.createDataFrame([(n, "", g, 1.0, "") for n, genes in sets.items() for g in genes], "signature string, sub_signature string, gene_id string, weight double, grp string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        for at, scorer in enumerate((sc._deviation, None)):
+            got = sc.walk_sets(e, members.withColumn("sub_signature", F.lit(None).cast("string")), "value", scorer).collect() if scorer else sc.ssgsea(e, members).collect()
+            want = {(*key, n): v[at] for key, cells in table.items() for n, v in brute_walks(cells, sets).items() if v[at] is not None}
+            if not scorer:
+                span = {(s, n): max(x := [v for k, v in want.items() if k[0] == s and k[2] == n]) - min(x) for s, _, n in want}
+                want = {k: v / span[k[0], k[2]] for k, v in want.items()}
+            assert len(got) == len(want) and {(r.study, r.sample_id, r.signature): r.score for r in got} == pytest.approx(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_rank_scores_sort_each_cell_once_and_stay_where_they_are(spark):
+    """No window over members; the cells are never the broadcast side of the join with their shares."""
+    e = sc.keep(expression(spark, {("s", f"p{i}"): dict(a=i, b=5 - i, c=3, d=1) for i in range(6)}))
+    sets = sc.keep(gene_set(spark, "ac"))
+    for scores in (sc.gsva(e, sets), sc.walk_sets(e, sets, "value", sc._deviation)):
+        plan = scores._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and plan.count("RepartitionByExpression") == 1
+    plan = sc.value_shares(e)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "BuildRight" in plan and "BuildLeft" not in plan
