@@ -21,6 +21,8 @@ from .scale import BUCKETS, bucketed, keep, running_sums
 REPLICATES = 1000
 #: A key has so many blocks at most; a block has at least 2**LEAST scores.
 BLOCKS, LEAST = 4096, 6
+#: Replicates of a key that one row deals out.
+SHARE = 125
 #: Up to this variance a binomial number is found from its distribution, over so many steps; beyond, from a normal one.
 EXACT, STEPS = 9.0, 64
 
@@ -113,33 +115,38 @@ def _running(counts: list[int], size: int) -> np.ndarray:
 
 
 def _dealt(blocks: DataFrame, keys, replicates: int) -> DataFrame:
-    """Draws of every replicate and class per block: ``draws_pos`` and ``draws_neg``, arrays over the replicates."""
+    """Draws of every replicate and class per block: ``draws_pos`` and ``draws_neg``, arrays over the replicates from
+    ``first`` on, ``SHARE`` of them a row."""
     sums = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + x)
     each = F.struct("block", sums("pos").alias("pos"), sums("neg").alias("neg"))
     whole = blocks.groupBy(*keys, "top", "height", "size_pos", "size_neg").agg(F.sort_array(F.collect_list(each)).alias("b"))
     tag = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
-    rows = whole.select(F.struct(*keys).alias("key"), tag.alias("tag"), "top", "height", "size_pos", "size_neg", "b")
+    starts = F.sequence(F.lit(1), F.lit(replicates), F.lit(SHARE))
+    rows = whole.select(F.struct(*keys).alias("key"), tag.alias("tag"), "top", "height", "size_pos", "size_neg", "b", F.explode(starts).alias("first"))
+    # draws take time, not bytes: a few rows must not be one task
+    rows = rows.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "first")
 
     def work(batches):
         for batch in batches:
             for at, row in enumerate(batch.to_pylist()):
                 steps = max(0, row["top"] - row["height"])
-                numbers = np.arange(1, replicates + 1)
+                numbers = np.arange(row["first"], min(row["first"] + SHARE, replicates + 1))
                 out = {}
                 for name, label in (("pos", 1), ("neg", 0)):
-                    start = np.full(replicates, row[f"size_{name}"], np.int64)
+                    start = np.full(len(numbers), row[f"size_{name}"], np.int64)
                     before = _running([b[name] for b in row["b"]], 1 << steps)
                     out[name] = split(start, before, f"{row['tag']}|{label}", numbers, row["top"], 0, steps)
                 n = len(row["b"])
                 key = batch.column("key").slice(at, 1).take(pa.array([0] * n))
                 lists = [pa.array(out[c][:, :n].T.tolist(), pa.list_(pa.int64())) for c in ("pos", "neg")]
                 yield pa.RecordBatch.from_arrays(
-                    [key, pa.array(range(n), pa.int64()), *lists], names=["key", "block", "draws_pos", "draws_neg"]
+                    [key, pa.array(range(n), pa.int64()), pa.array([row["first"]] * n, pa.int32()), *lists],
+                    names=["key", "block", "first", "draws_pos", "draws_neg"],
                 )
 
     kinds = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in blocks.select(*keys).schema)
-    dealt = rows.mapInArrow(work, f"key struct<{kinds}>, block bigint, draws_pos array<bigint>, draws_neg array<bigint>")
-    return dealt.select("key.*", "block", "draws_pos", "draws_neg")
+    dealt = rows.mapInArrow(work, f"key struct<{kinds}>, block bigint, first int, draws_pos array<bigint>, draws_neg array<bigint>")
+    return dealt.select("key.*", "block", "first", "draws_pos", "draws_neg")
 
 
 def bootstrap_auc(
@@ -157,15 +164,15 @@ def bootstrap_auc(
     tag = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
     # draws take time, not bytes: small partitions are not to be put together
     width = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = blocks.join(dealt, [*keys, "block"]).repartition(width, *keys, "block").select(
-        F.struct(*keys).alias("key"), tag.alias("tag"), "top", "height", "block", "pos", "neg", "draws_pos", "draws_neg"
+    met = blocks.join(dealt, [*keys, "block"]).repartition(width, *keys, "block", "first").select(
+        F.struct(*keys).alias("key"), tag.alias("tag"), "top", "height", "block", "first", "pos", "neg", "draws_pos", "draws_neg"
     )
     kinds = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in blocks.select(*keys).schema)
 
     def work(batches):
         for batch in batches:
             for at, row in enumerate(batch.to_pylist()):
-                steps, numbers = min(row["top"], row["height"]), np.arange(1, replicates + 1)
+                steps, numbers = min(row["top"], row["height"]), np.arange(row["first"], row["first"] + len(row["draws_pos"]))
                 drawn = {}
                 for name, label in (("pos", 1), ("neg", 0)):
                     before = _running(row[name], 1 << steps)
@@ -173,9 +180,9 @@ def bootstrap_auc(
                     drawn[name] = split(start, before, f"{row['tag']}|{label}", numbers, steps, row["block"], steps)
                 pos, neg = drawn["pos"].astype(np.float64), drawn["neg"].astype(np.float64)
                 won = (pos * (np.cumsum(neg, 1) - neg / 2.0)).sum(1)
-                key = batch.column("key").slice(at, 1).take(pa.array([0] * replicates))
+                key = batch.column("key").slice(at, 1).take(pa.array([0] * len(numbers)))
                 yield pa.RecordBatch.from_arrays(
-                    [key, pa.array(numbers.astype(np.int32)), pa.array([row["block"]] * replicates, pa.int64()), pa.array(pos.sum(1)), pa.array(neg.sum(1)), pa.array(won)],
+                    [key, pa.array(numbers.astype(np.int32)), pa.array([row["block"]] * len(numbers), pa.int64()), pa.array(pos.sum(1)), pa.array(neg.sum(1)), pa.array(won)],
                     names=["key", "replicate", "block", "pos", "neg", "won"],
                 )
 

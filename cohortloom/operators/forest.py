@@ -6,6 +6,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from .scale import attach, keep
 
 CHUNK_TREES = 64
 MAX_BROADCAST_CHUNKS = 64
+#: Samples that meet a chunk of trees together, and values they may have in all.
+BLOCK_ROWS, BLOCK_VALUES = 512, 1 << 20
 
 
 def tree_depth(nodes: str = "nodes") -> Column:
@@ -162,13 +167,15 @@ def sample_vectors(scores: DataFrame, tree_node: DataFrame) -> DataFrame:
     places = catalog.select(F.posexplode("features").alias("_at", "signature"))
     size = catalog.select(F.size("features").alias("n"))
     used = F.when(F.col("_at").isNotNull(), F.struct("_at", "score"))
-    gathered = attach(scores, places, ["signature"], "left").groupBy("study", "sample_id").agg(
-        F.map_from_entries(F.collect_list(used)).alias("_m")
+    gathered = attach(scores, places, ["signature"], "left").groupBy("sample_id", "study").agg(
+        F.sort_array(F.collect_list(used)).alias("_s")
     )
     positions = F.slice(F.sequence(F.lit(0), F.col("_n")), F.lit(1), F.col("_n"))
-    return gathered.withColumn("_n", size.scalar()).select(
-        "study", "sample_id", F.transform(positions, lambda i: F.col("_m")[i]).alias("x")
-    )
+    entries = F.map_from_entries("_s")
+    # a sample with each feature once is in order already; in others features are looked for, and a repeated one is refused
+    whole = (F.size("_s") == F.col("_n")) & (F.size(F.array_distinct("_s._at")) == F.col("_n"))
+    x = F.when(whole, F.col("_s.score")).otherwise(F.transform(positions, lambda i: entries[i]))
+    return gathered.withColumn("_n", size.scalar()).select("study", "sample_id", x.alias("x"))
 
 
 def tree_chunks(tree_node: DataFrame, model: DataFrame, chunk_trees: int = CHUNK_TREES) -> DataFrame:
@@ -197,17 +204,68 @@ def tree_chunks(tree_node: DataFrame, model: DataFrame, chunk_trees: int = CHUNK
     )
 
 
-def _walk(tree: Column) -> Column:
-    """Leaf value a sample's ``x`` reaches in a packed tree."""
+def sample_blocks(vectors: DataFrame) -> DataFrame:
+    """``rows``: samples packed where they lie into arrays of (study, sample_id, x), so that trees come once per array."""
+    kinds = ", ".join(f"`{c}`: {vectors.schema[c].dataType.simpleString()}" for c in ("study", "sample_id"))
+    rows = vectors.select("study", "sample_id", F.col("x").cast("array<double>").alias("x"))
+
+    def work(batches):
+        for batch in batches:
+            values = len(batch.column("x").flatten())
+            step = max(1, min(BLOCK_ROWS, BLOCK_VALUES * batch.num_rows // max(values, 1)))
+            for at in range(0, batch.num_rows, step):
+                part = pa.Table.from_batches([batch.slice(at, step)]).to_struct_array().combine_chunks()
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part)], names=["rows"])
+
+    return rows.mapInArrow(work, f"rows array<struct<{kinds}, x: array<double>>>")
+
 
-    def step(at: Column, _: Column) -> Column:
-        node = F.get(tree["nodes"], at)
-        value = F.get(F.col("x"), F.coalesce(node["at"], F.lit(0)))
-        goes_left = F.when(value.isNull(), node["default_left"]).otherwise(value < node["threshold"])
-        return F.when(node["left"].isNull(), at).when(goes_left, node["left"]).otherwise(node["right"])
+def _numbers(column: pa.Array, missing) -> np.ndarray:
+    return pc.fill_null(column, missing).to_numpy(zero_copy_only=False)
 
-    end = F.aggregate(F.sequence(F.lit(0), tree["depth"]), F.lit(0), step)
-    return F.get(tree["nodes"], end)["leaf"]
+
+def leaf_sums(x: pa.Array, trees: pa.Array) -> pa.Array:
+    """Sum of the leaves that each sample of ``x`` reaches in ``trees``, NULL where one has no value.
+
+    All samples step through all trees at once. A missing value takes the default side, a missing side is the right one;
+    comparisons are Spark's, where NaN is greater than any number. A step to a node that is not there ends without a leaf.
+    """
+    n = len(x)
+    depth, nodes = _numbers(trees.field("depth"), 0), trees.field("nodes")
+    sizes = _numbers(pc.list_value_length(nodes), 0).astype(np.int64)
+    first, flat = np.append(0, np.cumsum(sizes))[:-1], nodes.flatten()
+    lost = len(flat)  # one more node, without children and leaf
+    more = lambda name, missing, end: np.append(_numbers(flat.field(name), missing), end)
+    at, left, right = (more(c, d, d).astype(np.int64) for c, d in (("at", 0), ("left", -1), ("right", -1)))
+    inner = np.append(flat.field("left").is_valid().to_numpy(zero_copy_only=False), False)
+    cut, cut_known = more("threshold", 0.0, 0.0), np.append(flat.field("threshold").is_valid().to_numpy(zero_copy_only=False), False)
+    default_left, leaf = more("default_left", False, False), more("leaf", 0.0, 0.0)
+    leaf_known = np.append(flat.field("leaf").is_valid().to_numpy(zero_copy_only=False), False)
+
+    # samples as a grid, one more column for values that are not there
+    lengths = _numbers(pc.list_value_length(x), 0).astype(np.int64)
+    cells, wide = x.flatten(), int(lengths.max(initial=0))
+    grid, known = np.zeros((n, wide + 1)), np.zeros((n, wide + 1), bool)
+    row = np.repeat(np.arange(n), lengths)
+    column = np.arange(len(cells)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    grid[row, column], known[row, column] = _numbers(cells, 0.0), cells.is_valid().to_numpy(zero_copy_only=False)
+    at = np.where((at < 0) | (at >= wide), wide, at)
+
+    place = np.tile(np.where(sizes > 0, first, lost), (n, 1))
+    for step in range(int(depth.max(initial=-1)) + 1):
+        here = inner[place] & (depth >= step)
+        if not here.any():
+            break
+        s, t = np.nonzero(here)
+        node = place[s, t]
+        value, there, limit = grid[s, at[node]], known[s, at[node]], cut[node]
+        less = (value < limit) | (np.isnan(limit) & ~np.isnan(value))
+        child = np.where(np.where(there, less & cut_known[node], default_left[node]), left[node], right[node])
+        place[s, t] = np.where((child < 0) | (child >= sizes[t]), lost, first[t] + child)
+    total = np.zeros(n)
+    for t in range(len(sizes)):  # one by one: the order of the sum is that of the trees
+        total += leaf[place[:, t]]
+    return pa.array(total, mask=~leaf_known[place].all(axis=1))
 
 
 def predict_trees(
@@ -222,17 +280,28 @@ def predict_trees(
     One row per sample and model: absent features and NULL values take the default
     branch, and a model without trees gives its base margin.
 
-    Few chunks are broadcast, so samples never move. With many chunks a sample
+    Samples are packed into blocks, which step through a chunk of trees at once.
+    Few chunks are broadcast, so samples never move. With many chunks a block
     is repeated once per chunk, meets its chunk in a salted join, and partial
     margins are summed.
     """
     chunks = keep(tree_chunks(tree_node, model, chunk_trees))
     n_chunks, n_models = chunks.agg(F.coalesce(F.max("chunk") + 1, F.lit(0)), F.count_distinct("model_id")).first()
-    spread = vectors.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
-    part = F.aggregate("trees", F.lit(0.0), lambda acc, t: acc + _walk(t))
-    partial = attach(spread, chunks, ["chunk"], max_rows=max_chunks).select(
-        "study", "sample_id", "model_id", part.alias("_sum")
-    )
+    spread = sample_blocks(vectors).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
+    met = attach(spread, chunks, ["chunk"], max_rows=max_chunks).select("rows", "model_id", "trees")
+
+    def work(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows, trees = (batch.column(c).slice(i, 1).flatten() for c in ("rows", "trees"))
+                model_id = batch.column("model_id").take(pa.array([i] * len(rows)))
+                sums = leaf_sums(rows.field("x"), trees)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.field("study"), rows.field("sample_id"), model_id, sums], names=["study", "sample_id", "model_id", "_sum"]
+                )
+
+    kinds = {c: vectors.schema[c].dataType for c in ("study", "sample_id")} | {"model_id": model.schema["model_id"].dataType}
+    partial = met.mapInArrow(work, ", ".join(f"`{c}` {t.simpleString()}" for c, t in kinds.items()) + ", _sum double")
     if n_chunks > n_models:
         partial = partial.groupBy("study", "sample_id", "model_id").agg(F.sum("_sum").alias("_sum"))
     scale = F.col("leaf_scale") if "leaf_scale" in model.columns else F.lit(1.0)

@@ -96,7 +96,18 @@ def bucketed(rows: DataFrame, keys: Sequence[str], order: str, buckets: int = BU
         F.array_distinct(F.percentile_approx(order, F.array(*shares), F.lit(4 * buckets))).alias("_edges")
     )
     located = attach(rows, edges, keys, max_rows=MAX_BROADCAST_ROWS // buckets)
-    bucket = F.size(F.filter("_edges", lambda e: e < F.col(order)))
+    size = F.size("_edges")
+    halve = lambda s, mid: F.when(s["a"] >= s["b"], s).when(
+        F.get("_edges", mid) < F.col(order), F.struct((mid + 1).alias("a"), s["b"].alias("b"))
+    ).otherwise(F.struct(s["a"].alias("a"), mid.alias("b")))
+    # edges ascend: their number below a value is found by halving
+    found = F.aggregate(
+        F.sequence(F.lit(1), F.lit(buckets.bit_length())),
+        F.struct(F.lit(0).alias("a"), size.alias("b")),
+        lambda s, _: halve(s, F.shiftright(s["a"] + s["b"], 1)),
+        lambda s: s["a"],
+    )
+    bucket = F.when(F.col("_edges").isNotNull(), found).otherwise(size)
     return located.withColumn("_bucket", bucket).drop("_edges")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import literal_rows, round9
-from ..operators.scale import attach
+from ..operators.scale import attach, keep
 
 _schemas: dict[str, StructType] = {}
 
@@ -233,16 +233,21 @@ def vec_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vec_gene(position: str) -> Column:
+    """The gene's name at a position, which has two digits at least."""
+    place = F.col(position).cast("string")
+    return F.concat(F.lit("d"), F.lpad(place, F.greatest(F.lit(2), F.length(place)), "0"))
+
+
 def vec_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """study, sample_id, label, gene_id, value. Positions have two digits at least."""
-    place = F.col("_pos").cast("string")
+    """study, sample_id, label, gene_id, value."""
     return vec_samples(spark, sf_dir).select(
         "study", "sample_id", "label", F.posexplode("values").alias("_pos", "value")
     ).select(
         "study",
         "sample_id",
         "label",
-        F.concat(F.lit("d"), F.lpad(place, F.greatest(F.lit(2), F.length(place)), "0")).alias("gene_id"),
+        vec_gene("_pos").alias("gene_id"),
         "value",
     )
 
@@ -289,17 +294,19 @@ def stump_models(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     Tree t of a study splits on gene t at the study mean, its right child on the
     next gene. Returns ``(model, tree_node)``.
     """
-    gene = (
-        vec_cells(spark, sf_dir)
-        .groupBy("study", "gene_id")
+    # per position, a number; names come after the sums, which are few and written once
+    cells = vec_samples(spark, sf_dir).select("study", "label", F.posexplode("values").alias("tree_id", "value"))
+    gene = keep(
+        cells.groupBy("study", "tree_id")
         .agg(
             F.round(F.avg("value"), 6).alias("cut"),
             F.count(F.lit(1)).cast("double").alias("n"),
             F.round(F.stddev_samp("value"), 6).alias("sd"),
             F.round(F.avg(F.col("label").cast("double")) - F.lit(0.5), 6).alias("rate"),
         )
-        .withColumn("tree_id", F.expr("substring(gene_id, 2)").cast("int"))
-        .withColumn("genes", F.count(F.lit(1)).over(Window.partitionBy("study")).cast("int"))
+        .withColumn("gene_id", vec_gene("tree_id"))
+        .withColumn("genes", F.count(F.lit(1)).over(Window.partitionBy("study")).cast("int")),
+        "genes",
     )
     follower = gene.select(
         "study",

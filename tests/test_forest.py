@@ -2,7 +2,9 @@
 
 import json
 import math
+import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,3 +256,73 @@ def test_absent_features_are_filled_and_missing_values_stay(spark):
     vectors = spark.createDataFrame([("v", "p", [None, None]), ("w", "r", [None, 2.0])], "study string, sample_id string, x array<double>")
     filled = {r.sample_id: r.x for r in ft.fill_absent(vectors, scores, features, 9.0).collect()}
     assert filled == {"p": [None, 9.0], "r": [9.0, 2.0]}
+
+
+def brute_leaf(nodes, x, depth):
+    """The leaf one sample reaches, NULL as None, NaN above any number."""
+    at = 0
+    for _ in range(depth + 1):
+        node = nodes[at] if at is not None and 0 <= at < len(nodes) else None
+        if node is None:
+            return None
+        if node["left"] is None:
+            break
+        f = node["at"] or 0
+        v = x[f] if x is not None and f < len(x) else None
+        t = node["threshold"]
+        if v is None:
+            left = node["default_left"]
+        else:
+            left = t is not None and (v < t or (math.isnan(t) and not math.isnan(v)))
+        at = node["left"] if left else node["right"]
+    node = nodes[at] if at is not None and 0 <= at < len(nodes) else None
+    return node and node["leaf"]
+
+
+def test_leaf_sums_equal_walking_each_tree_alone():
+    rng = random.Random(3)
+    nan = float("nan")
+
+    def grown(height):
+        if height == 0 or rng.random() < 0.2:
+            return [dict(at=None, threshold=None, left=None, right=None, default_left=True, leaf=rng.choice([rng.gauss(0, 1)] * 30 + [None]))]
+        low, high = grown(height - 1), grown(height - 1)
+        for part, by in ((low, 1), (high, 1 + len(low))):
+            for n in part:
+                n.update({c: n[c] + by for c in ("left", "right") if n[c] is not None})
+        cut = rng.choice([rng.gauss(0, 1)] * 8 + [nan, None])
+        right = rng.choice([1 + len(low)] * 12 + [None, 99])
+        top = dict(at=rng.choice([0, 1, 2, 7, None]), threshold=cut, left=1, right=right, default_left=rng.choice([True, False, None]), leaf=None)
+        return [top, *low, *high]
+
+    x = [[rng.choice([rng.gauss(0, 1), None, nan]) for _ in range(3)] for _ in range(60)] + [None, [], [0.1]]
+    node = pa.struct([("at", pa.int32()), ("threshold", pa.float64()), ("left", pa.int32()), ("right", pa.int32()), ("default_left", pa.bool_()), ("leaf", pa.float64())])
+    known = 0
+    for n in [1] * 20 + [3] * 10:
+        trees = [dict(depth=4, nodes=grown(4)) for _ in range(n)]
+        got = fo.leaf_sums(pa.array(x, pa.list_(pa.float64())), pa.array(trees, pa.struct([("depth", pa.int32()), ("nodes", pa.list_(node))]))).to_pylist()
+        for have, row in zip(got, x, strict=True):
+            leaves = [brute_leaf(t["nodes"], row, 4) for t in trees]
+            assert have == (None if None in leaves else pytest.approx(sum(leaves)))
+            known += have is not None
+    assert 200 < known < 30 * len(x)
+
+
+def test_trees_come_once_per_block_of_samples(spark, toys):
+    """A row that meets the trees holds many samples; a sample with a block to itself is predicted alike."""
+    model, tree_node = toys
+    rows = [("v", f"p{i}", f, (i * k % 7) / 3.0) for i in range(40) for k, f in enumerate("xyz", 1)]
+    scores = spark.createDataFrame(rows, "study string, sample_id string, signature string, score double").coalesce(1)
+    vectors = fo.sample_vectors(scores, tree_node).coalesce(1)
+    sizes = [len(r.rows) for r in fo.sample_blocks(vectors).collect()]
+    assert sum(sizes) == 40 and len(sizes) == 1
+    whole = {(r.sample_id, r.model_id): r.margin for r in fo.predict_trees(vectors, tree_node, model).collect()}
+    alone = {(r.sample_id, r.model_id): r.margin for r in fo.predict_trees(vectors.repartition(40, "sample_id"), tree_node, model).collect()}
+    assert len(whole) == 120 and whole == alone
+
+
+def test_repeated_feature_of_a_sample_is_refused(spark, toys):
+    rows = [("v", "p1", "x", 0.7), ("v", "p1", "x", 0.9), ("v", "p1", "y", 0.1)]
+    scores = spark.createDataFrame(rows, "study string, sample_id string, signature string, score double")
+    with pytest.raises(Exception, match="(?i)duplicate"):
+        fo.sample_vectors(scores, toys[1]).collect()

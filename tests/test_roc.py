@@ -143,3 +143,13 @@ def test_plans_have_no_products_of_tables(spark):
     for out in (roc.auc(ranked), roc.roc_interpolate(ranked), bs.bootstrap_auc_ci(df, 3)):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_draws_of_one_key_are_dealt_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(bs, "LEAST", 2)
+    counted = roc.score_counts(frame(spark, random_rows(6, 200))).withColumn("one", F.lit(1))
+    blocks = bs._blocks(roc.cumulative(counted, roc.KEYS, "score", ["pos", "neg", "one"], 4), roc.KEYS)
+    dealt = bs._dealt(blocks, roc.KEYS, 300).withColumn("task", F.spark_partition_id())
+    n = blocks.count()
+    parts = dealt.groupBy("block").agg(F.sum(F.size("draws_pos")).alias("n"), F.count_distinct("task").alias("tasks")).collect()
+    assert len(parts) == n > 1 and all(r.n == 300 and r.tasks > 1 for r in parts)

@@ -1,5 +1,6 @@
 """Running sums, quantiles and joins on skewed groups, against brute force."""
 
+import math
 import random
 
 import numpy as np
@@ -73,3 +74,15 @@ def test_large_lookup_is_not_broadcast(spark):
     lookup = spark.range(5000).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(1))).alias("w"))
     joined = scale.attach(rows, lookup, ["k"], max_rows=0)
     assert joined.count() == 100 and "_salt" not in joined.columns
+
+
+def test_buckets_count_the_edges_below(spark):
+    rng = random.Random(9)
+    values = [rng.choice([rng.gauss(0, 3), 0.0, float("nan"), None]) for _ in range(500)]
+    rows = spark.createDataFrame([("k", v) for v in values] + [("none", None)], "k string, v double")
+    got = scale.bucketed(rows, ["k"], "v", 16)
+    edges = rows.filter("k = 'k'").agg(F.array_distinct(F.percentile_approx("v", [i / 16 for i in range(1, 16)], 64)).alias("e")).first().e
+    above = lambda v, e: v is not None and not math.isnan(e) and (math.isnan(v) or e < v)
+    for r in got.filter("k = 'k'").collect():
+        assert r._bucket == sum(above(r.v, e) for e in edges)
+    assert got.count() == 501
